@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, quality
+from . import licenses, mixing, piece_codec, quality
 from .common import documents
 
 
@@ -22,10 +22,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
