@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, linededup, mixing, piece_codec, quality, spotsigs, toxicity
+from . import langid, licenses, linededup, mixing, neardup, piece_codec, quality, spotsigs, toxicity
 from .common import documents, table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_neardup": op2_neardup,
     "op3_lines": op3_lines,
     "op5_fingerprints": op5_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
