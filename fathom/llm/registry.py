@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, linededup, mixing, neardup, piece_codec, quality, spotsigs, toxicity
+from . import langid, licenses, linededup, mixing, neardup, pii, piece_codec, quality, spotsigs, toxicity
 from .common import documents, table
 
 
@@ -23,6 +23,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_neardup": op2_neardup,
     "op3_lines": op3_lines,
+    "op4_pii": op4_pii,
     "op5_fingerprints": op5_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
