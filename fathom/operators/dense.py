@@ -57,16 +57,13 @@ def post_process(x: np.ndarray, dim: int) -> np.ndarray:
 
 
 def post_process_column(v: Column, dim: int) -> Column:
-    """The same as a Column expression, for vectors that are there already."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    d = F.transform(v, lambda x: x.cast("double"))
-    n = F.size(v)
-    mean = total(d) / n
-    centred = F.transform(d, lambda x: x - mean)
-    scale = F.sqrt(total(F.transform(centred, lambda x: x * x)) / n + 1e-5)
-    short = F.slice(F.transform(centred, lambda x: x / scale), 1, dim)
-    norm = F.greatest(F.sqrt(total(F.transform(short, lambda x: x * x))), F.lit(1e-12))
-    return F.transform(short, lambda x: (x / norm).cast("float"))
+    """The same for a column of vectors that are there already, in Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else post_process(np.asarray(x)[None], dim)[0] for x in s])
+
+    return run(v)
 
 
 def embed(texts: DataFrame, encoder: Encoder, kind: str = "document", dim: int = 64, batch: int = 16, key: str = "doc_id") -> DataFrame:

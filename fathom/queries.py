@@ -277,11 +277,11 @@ def _(spark, sf):
 b AS (SELECT vec_id, v, list_avg(v) AS m FROM a), c AS (SELECT vec_id, list_transform(v, lambda x: x - m) AS v FROM b),
 d AS (SELECT vec_id, v, sqrt(list_avg(list_transform(v, lambda x: x * x)) + 1e-5) AS s FROM c), e AS (SELECT vec_id, list_transform(v, lambda x: x / s)[1:32] AS v FROM d),
 f AS (SELECT vec_id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS n FROM e)
-SELECT vec_id AS doc_id, CAST(len(v) AS INTEGER) AS dim, round(v[1] / n, 4) AS first_value, round(v[32] / n, 4) AS last_value FROM f""",
+SELECT vec_id AS doc_id, CAST(len(v) AS INTEGER) AS dim, round(v[1] / n, 4) + 0.0 AS first_value, round(v[32] / n, 4) + 0.0 AS last_value FROM f""",
 )
 def _(spark, sf):
     v = _vectors(spark, sf).select("doc_id", dense.post_process_column(F.col("vec"), 32).alias("v"))
-    return v.select("doc_id", F.size("v").alias("dim"), F.round(F.element_at("v", 1).cast("double"), 4).alias("first_value"), F.round(F.element_at("v", -1).cast("double"), 4).alias("last_value"))
+    return v.select("doc_id", F.size("v").alias("dim"), (F.round(F.element_at("v", 1).cast("double"), 4) + 0.0).alias("first_value"), (F.round(F.element_at("v", -1).cast("double"), 4) + 0.0).alias("last_value"))
 
 
 @query("embed_documents")
