@@ -7,9 +7,10 @@ are one window.
 
 Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket. Each bucket first
 links its members to its least node (a star, never all pairs), and the links are verified. Buckets whose
-members then lie in several components are looked at again: in buckets of up to ``BLOCK`` members every pair across
-components is verified; larger ones are refined by a second agreeing sketch, then by a third, with a star and a look each time; what is
-still large and mixed after that is verified pair by pair across components, so nothing is dropped.
+members then lie in several components are looked at again: pairs across components that agree in ``AGREE`` sketches (a pair at the
+threshold agrees in 8 of 16 on average, and in fewer than 3 once in 500 times) and whose lengths admit the threshold are verified, in
+buckets of up to ``FEW`` members row by row, in larger ones by blocks of members that meet in pairs, where only links that join
+components are passed on. Nothing is capped.
 
 Verification. Labelled windows are unique, so matches of two texts form a one-to-one map; the longest increasing run
 of matches within the band |i - j| <= (n + m) * (1 - s) / (1 + s) is the best alignment of any pair that reaches the threshold
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_name, text_key
@@ -37,8 +38,9 @@ K = 5
 SKETCHES = 16
 SAMPLE = 3
 THRESHOLD = 0.8
-BLOCK = 32
-DEPTH = 2
+AGREE = 3
+FEW = 32
+BLOCK = 256
 VERIFY_ROWS = 500
 
 _WORD = byte_class(b" \t\n\x0b\x0c\r")
@@ -161,10 +163,77 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
         conf.set(name, old)
 
 
+def _block_links(placed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """u, v: links between components in large buckets, as many as join what can be joined.
+
+    Members are sorted by component into blocks of ``BLOCK``; every two blocks of a bucket that aren't of one component meet in a
+    row of their own, where pairs are tried in order of agreeing sketches, until all are tried or already joined.
+    """
+    order = Window.partitionBy("h", "salt").orderBy("comp", "node")
+    # large buckets are cut by a hash of the component first, so that no task sorts one whole
+    at = placed.withColumn("salt", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / (8 * BLOCK))).cast("int"))
+    at = at.withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
+    at = at.withColumn("blk", F.col("salt").cast("long") * (1 << 32) + F.col("blk"))
+    blocks = at.join(seqs, "node").groupBy("h", "band", "blk").agg(F.collect_list(F.struct("node", "comp", "n", "sk", "seq")).alias("x"))
+    named = at.groupBy("h", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    second = named.select("h", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meets = named.join(second, "h").where("blk <= blk2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("h", "blk", "blk2")
+    rows = meets.join(blocks, ["h", "blk"]).join(blocks.select("h", F.col("blk").alias("blk2"), F.col("x").alias("y")), ["h", "blk2"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for band, same, x, y in zip(b["band"], b["same"], b["x"], b["y"], strict=True):
+                found = _join_blocks(int(band), bool(same), list(x), list(y), threshold)
+                if found:
+                    yield pd.DataFrame(found, columns=["u", "v"])
+
+    conf, name = placed.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = conf.get(name)
+    conf.set(name, "4")  # a row holds two blocks of sequences
+    try:
+        return cut(rows.select("band", (F.col("blk") == F.col("blk2")).alias("same"), "x", "y").mapInPandas(run, "u long, v long"))
+    finally:
+        conf.set(name, old)
+
+
+def _join_blocks(band: int, same: bool, x: list, y: list, threshold: float) -> list[tuple[int, int]]:
+    """Links that join components across two blocks (or within one), by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sx, sy = (np.stack([np.asarray(r["sk"], dtype=np.int64) for r in z]) for z in (x, y))
+    nx, ny = (np.array([r["n"] for r in z]) for z in (x, y))
+    cx, cy = (np.array([r["comp"] for r in z]) for z in (x, y))
+    agree = np.zeros((len(x), len(y)), dtype=np.int8)
+    first = np.full(agree.shape, SKETCHES, dtype=np.int8)
+    for k in reversed(range(SKETCHES)):
+        eq = sx[:, k][:, None] == sy[:, k][None]
+        agree += eq
+        first[eq] = k
+    # a pair is tried in the bucket of the first sketch in which it agrees only
+    ok = (first == band) & (agree >= AGREE) & (cx[:, None] != cy[None]) & (np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny))
+    if same:
+        ok = np.triu(ok, 1)
+    i, j = np.nonzero(ok)
+    out = []
+    seq_x, seq_y = ([np.frombuffer(r["seq"], np.uint64) for r in z] for z in (x, y))
+    for k in np.argsort(-agree[i, j], kind="stable"):
+        a, b = i[k], j[k]
+        ra, rb = root(int(cx[a])), root(int(cy[b]))
+        if ra != rb and aligned(seq_x[a], seq_y[b], threshold) > 0:
+            parent[ra] = rb
+            out.append((int(x[a]["node"]), int(y[b]["node"])))
+    return out
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, tkey (of the text), class_id, class_size (rows) of every row of docs(doc_id, text)."""
     rows = cut(_sketched(docs))
-    nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("sk").alias("sk"))
+    nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = nodes.select("node", F.posexplode("sk").alias("band", "h"))
     lead = buckets.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
@@ -173,27 +242,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     ids = members.select("node").distinct()
     seqs = cut(_sequences(docs, nodes.join(ids, "node").select("node", "tkey", "doc_id")).dropDuplicates(["node"]))
     parts = components(_verified(pairs, seqs, threshold))
-    for depth in range(DEPTH + 1):
-        # buckets whose members lie in several components
-        placed = members.join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").withColumn("comp", F.coalesce("c_", "node")).drop("c_")
-        mixed = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b AND size > 2").select("h", "size")
-        placed = cut(placed.join(mixed, "h"))
-        if placed.isEmpty():
-            break
-        few = placed if depth == DEPTH else placed.where(F.col("size") <= BLOCK)
-        cross = few.where("node != lead").select("h", "node", "comp").join(few.where("node != lead").select("h", F.col("node").alias("v"), F.col("comp").alias("d_")), "h").where("comp < d_")
-        pairs = cross.select(F.col("node").alias("u"), "v").distinct()
-        if depth < DEPTH:
-            finer = placed.where(F.col("size") > BLOCK).select("h", "node", "band").join(nodes.select("node", "sk"), "node")
-            finer = finer.select("node", "band", "h", F.posexplode("sk").alias("k", "g")).where("k > band").select(F.xxhash64("h", "g").alias("h"), "node", F.col("k").alias("band"))
-            lead = finer.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
-            members = cut(finer.join(lead, "h").select("h", "node", "lead", "band"))
-            stars = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-            # links within a component need no look
-            comp = parts.select(F.col("u").alias("n_"), F.col("v").alias("c_"))
-            stars = stars.join(comp, F.col("u") == F.col("n_"), "left").select("u", "v", F.coalesce("c_", "u").alias("cu")).join(comp, F.col("v") == F.col("n_"), "left").select("u", "v", "cu", F.coalesce("c_", "v").alias("cv")).where("cu != cv")
-            pairs = pairs.unionByName(stars.select("u", "v")).distinct()
-        more = _verified(pairs, seqs, threshold)
+    # buckets whose members lie in several components
+    placed = members.join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").withColumn("comp", F.coalesce("c_", "node")).drop("c_")
+    mixed = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b AND size > 2").select("h", "size")
+    placed = cut(placed.join(mixed, "h").join(nodes.select("node", "n", "sk"), "node"))
+    if not placed.isEmpty():
+        few = placed.where((F.col("size") <= FEW) & (F.col("node") != F.col("lead"))).select("h", "node", "comp", "n", "sk")
+        other = few.select("h", F.col("node").alias("v"), F.col("comp").alias("d_"), F.col("n").alias("m"), F.col("sk").alias("sv"))
+        agree = F.expr(f"size(filter(zip_with(sk, sv, (x, y) -> x = y), t -> t)) >= {AGREE}")
+        close = few.join(other, (few["h"] == other["h"]) & (F.col("comp") < F.col("d_")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")) & agree)
+        more = _verified(close.select(F.col("node").alias("u"), "v").distinct(), seqs, threshold).unionByName(_block_links(placed.where(F.col("size") > FEW), seqs, threshold))
+        more = cut(more)
         if not more.isEmpty():
             parts = components(parts.unionByName(more))
     named = nodes.select("tkey", "node").join(parts.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("tkey").alias("t_"), F.coalesce("v", "node").alias("comp"))
