@@ -44,6 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "fathom-checkpoints"))
 
 
+BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches in which the session hands texts to Python workers; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int("".join(c for c in spark.conf.get(name, "0") if c.isdigit() or c == "-") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 TRAIN_ROWS_PER_LANGUAGE = 500
 TRAIN_MOST_CHARS = 20_000
@@ -132,6 +132,7 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 150) -> Model:
 
 def train(docs: DataFrame) -> Model:
     """Model of docs(doc_id, text, lang) learned from a bounded sample of its rows that aren't held out."""
+    small_batches(docs.sparkSession)
     able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id")
     chosen = able.where(F.length("text") <= TRAIN_MOST_CHARS).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_ROWS_PER_LANGUAGE).select(F.col("doc_id").alias("id_"))
@@ -163,20 +164,28 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, close = model.predict(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": langs, "score": scores, "ambiguous": close})
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose language can be told (not ``und``); columns as in docs.
+    """Rows of docs whose language can be told (not ``und``), with null languages filled in; columns as in docs.
 
     Ambiguous texts are flagged by predict_languages but stay: a mixed text is no broken one.
     """
-    schema = docs.schema
+    import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang") if "lang" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _, _ = model.predict(b["text"].tolist())
-            yield b[[v != UNDETERMINED for v in langs]]
+            langs, _, _ = model.predict(b.column(text).to_pylist())
+            if lang is not None and b.column(lang).null_count:
+                filled = [p if v is None and p != UNDETERMINED else v for v, p in zip(b.column(lang).to_pylist(), langs, strict=True)]
+                b = b.set_column(lang, b.schema.field(lang), pa.array(filled, b.schema.field(lang).type))
+            yield b.filter(pa.array([v != UNDETERMINED for v in langs]))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)

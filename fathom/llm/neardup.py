@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, text_key
+from .common import cut, fresh_name, small_batches, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
@@ -232,6 +232,7 @@ def _join_blocks(band: int, same: bool, x: list, y: list, threshold: float) -> l
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, tkey (of the text), class_id, class_size (rows) of every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = cut(_sketched(docs))
     nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))

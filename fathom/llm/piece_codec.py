@@ -27,6 +27,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches
 
 MARK = "▁"
 CACHE_ENTRIES = 900_000
@@ -227,6 +230,5 @@ def encode_digests(docs: DataFrame, model_file: str | None = None, text: str = "
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .words import ascii_lower, byte_class, mix, word_hashes
 
 CHAIN = 2
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         for b in batches:
             yield pd.DataFrame({"doc_id": b["i"], "fingerprint": [write(s) for s in signature_sets(b["t"].tolist())]})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint string")
 
 
@@ -170,6 +171,7 @@ def with_successor(docs: DataFrame) -> tuple[DataFrame, int]:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows, parts = with_successor(docs)
     laid = rows.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
 

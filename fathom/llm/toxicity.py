@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 TRAIN_ROWS = 4000
 TRAIN_MOST_CHARS = 20_000
@@ -323,6 +323,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             s = scorer.score(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
