@@ -50,10 +50,10 @@ BATCH_BYTES = 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches in which the session hands texts to Python workers; smaller settings stay."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int("".join(c for c in spark.conf.get(name, "0") if c.isdigit() or c == "-") or 0)
+    for name, most, unit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, ""), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b")):
+        now = int(spark.conf.get(name, f"{most}{unit}").rstrip("b"))
         if now <= 0 or now > most:
-            spark.conf.set(name, str(most))
+            spark.conf.set(name, f"{most}{unit}")
 
 
 def cut(df: DataFrame) -> DataFrame:
