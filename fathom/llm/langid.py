@@ -133,7 +133,7 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 150) -> Model:
 def train(docs: DataFrame) -> Model:
     """Model of docs(doc_id, text, lang) learned from a bounded sample of its rows that aren't held out."""
     small_batches(docs.sparkSession)
-    able = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    able = docs.select("doc_id", "lang", "text").where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id")
     chosen = able.where(F.length("text") <= TRAIN_MOST_CHARS).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_ROWS_PER_LANGUAGE).select(F.col("doc_id").alias("id_"))
     # at most TRAIN_ROWS_PER_LANGUAGE ids a language

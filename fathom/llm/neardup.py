@@ -231,7 +231,7 @@ def _join_blocks(band: int, same: bool, x: list, y: list, threshold: float) -> l
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tkey (of the text), class_id, class_size (rows) of every row of docs(doc_id, text)."""
+    """doc_id, tkey (of the text), class_id, class_size (rows), keep (the row stands for its class) of every row of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = cut(_sketched(docs))
     nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
@@ -258,9 +258,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
             parts = components(parts.unionByName(more))
     named = nodes.select("tkey", "node").join(parts.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("tkey").alias("t_"), F.coalesce("v", "node").alias("comp"))
     placed = cut(rows.select("doc_id", "tkey", "n").join(named, F.col("tkey") == F.col("t_"), "left").select("doc_id", "tkey", "n", "comp"))
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("comp", "c_")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first")
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(first, F.count("*").alias("class_size")).withColumnRenamed("comp", "c_")
     out = placed.join(least, F.col("comp") == F.col("c_"), "left")
-    return out.select("doc_id", "tkey", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    alone = F.col("comp").isNull()
+    keep = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey")))
+    return out.select("doc_id", "tkey", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), keep.alias("keep"))
 
 
 def dedup_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -272,6 +275,6 @@ def dedup_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tkey, ident = fresh_name("tkey_", names), fresh_name("id_", names)
     classes = near_duplicate_classes(docs, threshold)
     alone = docs.where(F.col("text").isNull() | ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("tkey").alias(tkey)).withColumnRenamed("class_id", ident)
+    keep = classes.where("keep").select(F.col("doc_id").alias(ident), F.col("tkey").alias(tkey)).distinct()
     rows = docs.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).withColumn(tkey, text_key()).join(keep.withColumnRenamed(tkey, tkey + "k"), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(tkey) == F.col(tkey + "k")))
     return rows.dropDuplicates(["doc_id", tkey]).select(*[F.col(f"`{c}`") for c in names]).unionByName(alone)

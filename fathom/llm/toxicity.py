@@ -309,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     able = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     ids = able.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(TRAIN_ROWS).select(F.col("doc_id").alias("id_"), "toxic")
     # TRAIN_ROWS ids at most
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_MOST_CHARS)).join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_MOST_CHARS)).join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     got = rows.toPandas().sort_values(["doc_id", "text"], kind="stable")
     return fit(got["text"].tolist(), got["toxic"].tolist())
 
