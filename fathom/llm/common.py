@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -68,3 +69,9 @@ def fresh_name(base: str, taken: list[str]) -> str:
     while base.lower() in low:
         base += "_"
     return base
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

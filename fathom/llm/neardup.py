@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, small_batches, text_key
+from .common import cut, fresh_name, release, small_batches, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
@@ -40,7 +40,8 @@ SAMPLE = 3
 THRESHOLD = 0.8
 AGREE = 3
 FEW = 32
-BLOCK = 256
+BLOCK = 1024
+BLOCK_WINDOWS = 1 << 17  # of a block's texts together, save for a single longer text
 VERIFY_ROWS = 500
 
 _WORD = byte_class(b" \t\n\x0b\x0c\r")
@@ -166,13 +167,13 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 def _block_links(placed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """u, v: links between components in large buckets, as many as join what can be joined.
 
-    Members are sorted by component into blocks of ``BLOCK``; every two blocks of a bucket that aren't of one component meet in a
+    Members are sorted by component into blocks of up to ``BLOCK`` members and ``BLOCK_WINDOWS`` windows; every two blocks of a bucket that aren't of one component meet in a
     row of their own, where pairs are tried in order of agreeing sketches, until all are tried or already joined.
     """
     order = Window.partitionBy("h", "salt").orderBy("comp", "node")
     # large buckets are cut by a hash of the component first, so that no task sorts one whole
-    at = placed.withColumn("salt", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / (8 * BLOCK))).cast("int"))
-    at = at.withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
+    at = placed.withColumn("salt", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / (16 * BLOCK))).cast("int"))
+    at = at.withColumn("blk", F.floor((F.sum(F.greatest(F.col("n"), F.lit(BLOCK_WINDOWS // BLOCK))).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_WINDOWS).cast("long"))
     at = at.withColumn("blk", F.col("salt").cast("long") * (1 << 32) + F.col("blk"))
     blocks = at.join(seqs, "node").groupBy("h", "band", "blk").agg(F.collect_list(F.struct("node", "comp", "n", "sk", "seq")).alias("x"))
     named = at.groupBy("h", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -242,7 +243,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     ids = members.select("node").distinct()
     seqs = cut(_sequences(docs, nodes.join(ids, "node").select("node", "tkey", "doc_id")).dropDuplicates(["node"]))
+    release(docs.sparkSession)
     parts = components(_verified(pairs, seqs, threshold))
+    release(docs.sparkSession)
     # buckets whose members lie in several components
     placed = members.join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").withColumn("comp", F.coalesce("c_", "node")).drop("c_")
     mixed = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b AND size > 2").select("h", "size")

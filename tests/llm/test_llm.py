@@ -152,6 +152,7 @@ def test_neardup_large_mixed_bucket(spark, monkeypatch):
     """A chain of near copies whose ends differ, in buckets far larger than a block."""
     monkeypatch.setattr(neardup, "FEW", 4)
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_WINDOWS", 1000)
     rng = random.Random(3)
     now, texts = words(rng, 120).split(" "), []
     for _ in range(40):
