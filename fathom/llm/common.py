@@ -75,3 +75,28 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints of finished steps now rather than at some later collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+class Recent(dict):
+    """A bounded store for Python workers: when it is full, what wasn't asked for since the last time goes.
+
+    Holds up to twice the given number of entries; look up with ``find``.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def find(self, key):
+        got = self.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

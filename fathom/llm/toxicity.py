@@ -49,7 +49,7 @@ EDGE = "|"  # stands before and after a unit
 BUCKETS = (-0.5, 0.0, 0.5, 1.0)  # margins by which suspects are counted
 SUSPECT = BUCKETS[0]  # margin from which a unit counts
 LANDMARKS = 96  # of each kind
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 SEED = 7
 
 # Digits read as letters within words.
