@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -72,8 +74,10 @@ def fresh_name(base: str, taken: list[str]) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints of finished steps now rather than at some later collection."""
+    """Let Spark's cleaner drop shuffle files and checkpoints of finished steps now rather than at some later collection, and give back the driver's memory."""
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+        ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, release, small_batches
 
-TRAIN_ROWS_PER_LANGUAGE = 500
+TRAIN_ROWS_PER_LANGUAGE = 400
 TRAIN_MOST_CHARS = 20_000
-DIMENSIONS = 1 << 13
+BITS = 12
+DIMENSIONS = 1 << BITS
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 20
 SEED = 20240
@@ -58,7 +59,7 @@ def counts(text: str) -> np.ndarray:
             h = h[:-1] * np.uint32(0x01000193) ^ b[n - 1 :]
             if n in ORDERS and len(h):
                 own = h if whole else h[:CHUNK]
-                out += np.bincount((own * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13), minlength=DIMENSIONS)
+                out += np.bincount((own * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=DIMENSIONS)
     return out
 
 
@@ -153,7 +154,10 @@ def train(docs: DataFrame) -> Model:
     for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
         x[i, at] = np.sqrt(n)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return fit(x, got["lang"].tolist())
+    model = fit(x, got["lang"].tolist())
+    del got, x
+    release(docs.sparkSession)
+    return model
 
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:

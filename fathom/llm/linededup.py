@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name
+from .common import cut, fresh_name, release
 
 MIN_WORDS = 8
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -39,6 +39,7 @@ def _key(text: str) -> Column:
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """doc_id (null as the largest long), key, gone array<int>: line numbers to delete, of documents with any."""
+    release(docs.sparkSession)
     # documents in order; key tells rows with one id apart
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), _key(text).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("l"))
     lines = lines.select("doc_id", "key", F.posexplode(F.filter(F.transform("l", lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda e: F.rlike(e["x"], F.lit(_HAS_WORD)))).alias("i", "e"))
