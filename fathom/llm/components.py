@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,3 +31,4 @@ def components(edges: DataFrame) -> DataFrame:
         if r == seen or not r[0]:
             return now
         seen = r
+        release(edges.sparkSession)  # a round's shuffles are of no use to the next

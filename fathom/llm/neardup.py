@@ -155,6 +155,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
             yield b.loc[ok, ["u", "v"]]
 
     both = pairs.join(seqs.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u").join(seqs.select(F.col("node").alias("v"), F.col("seq").alias("y")), "v")
+    release(pairs.sparkSession)
     conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = conf.get(name)
     conf.set(name, str(VERIFY_ROWS))  # rows hold two sequences each
@@ -188,6 +189,7 @@ def _block_links(placed: DataFrame, seqs: DataFrame, threshold: float) -> DataFr
                 if found:
                     yield pd.DataFrame(found, columns=["u", "v"])
 
+    release(placed.sparkSession)
     conf, name = placed.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = conf.get(name)
     conf.set(name, "4")  # a row holds two blocks of sequences
@@ -241,6 +243,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     buckets = nodes.select("node", F.posexplode("sk").alias("band", "h"))
     lead = buckets.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
     members = cut(buckets.join(lead, "h").select("h", "node", "lead", "band"))
+    release(docs.sparkSession)
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     ids = members.select("node").distinct()
     seqs = cut(_sequences(docs, nodes.join(ids, "node").select("node", "tkey", "doc_id")).dropDuplicates(["node"]))
