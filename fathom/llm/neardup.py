@@ -7,10 +7,10 @@ are one window.
 
 Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket. Each bucket first
 links its members to its least node (a star, never all pairs), and the links are verified. Buckets whose
-members then lie in several components are looked at again: pairs across components that agree in ``AGREE`` sketches (a pair at the
-threshold agrees in 8 of 16 on average, and in fewer than 3 once in 500 times) and whose lengths admit the threshold are verified, in
-buckets of up to ``FEW`` members row by row, in larger ones by blocks of members that meet in pairs, where only links that join
-components are passed on. Nothing is capped.
+members then lie in several components are looked at again: every pair across components is tried in the bucket of the first sketch
+in which it agrees and verified if its lengths and counts of windows by bin (``bins``) admit the threshold, which both hold for any
+pair that reaches it. Buckets of up to ``FEW`` members do so row by row, larger ones by blocks of members that meet in pairs, where only
+links that join components are passed on. Nothing is capped.
 
 Verification. Labelled windows are unique, so matches of two texts form a one-to-one map; the longest increasing run
 of matches within the band |i - j| <= (n + m) * (1 - s) / (1 + s) is the best alignment of any pair that reaches the threshold
@@ -38,11 +38,13 @@ K = 5
 SKETCHES = 16
 SAMPLE = 3
 THRESHOLD = 0.8
-AGREE = 3
 FEW = 32
 BLOCK = 1024
 BLOCK_WINDOWS = 1 << 17  # of a block's texts together, save for a single longer text
 VERIFY_ROWS = 500
+BINS = 64
+BLOCK_BINS = 512
+TRIED = 4096  # pairs whose bins are compared at once
 
 _WORD = byte_class(b" \t\n\x0b\x0c\r")
 _LOWER = ascii_lower()
@@ -98,6 +100,14 @@ def sketch(w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bins(w: np.ndarray, n: int) -> np.ndarray:
+    """Windows of a labelled sequence by their value's bin.
+
+    Two texts differ in as many windows at least as their bins differ; clipped, they differ less, never more.
+    """
+    return np.minimum(np.bincount((w >> np.uint64(20)).astype(np.int64) % n, minlength=n), np.iinfo(np.int16).max).astype(np.int16)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Ordered Jaccard similarity of two labelled sequences; exact from the threshold on, else 0."""
     if not len(a) or not len(b):
@@ -124,15 +134,15 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, n, sk of every row."""
+    """doc_id, tkey, n, sk, bins of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seqs = labelled(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tkey": b["tkey"], "n": [len(s) for s in seqs], "sk": [sketch(s) if len(s) else np.zeros(0, np.int64) for s in seqs]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tkey": b["tkey"], "n": [len(s) for s in seqs], "sk": [sketch(s) if len(s) else np.zeros(0, np.int64) for s in seqs], "bins": [bins(s, BINS) for s in seqs]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("tkey"), "text").mapInPandas(run, f"doc_id {kind}, tkey binary, n long, sk array<bigint>")
+    return docs.select("doc_id", text_key().alias("tkey"), "text").mapInPandas(run, f"doc_id {kind}, tkey binary, n long, sk array<bigint>, bins array<smallint>")
 
 
 def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,12 +228,17 @@ def _join_blocks(band: int, same: bool, x: list, y: list, threshold: float) -> l
         agree += eq
         first[eq] = k
     # a pair is tried in the bucket of the first sketch in which it agrees only
-    ok = (first == band) & (agree >= AGREE) & (cx[:, None] != cy[None]) & (np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny))
+    ok = (first == band) & (cx[:, None] != cy[None]) & (np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny))
     if same:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
     out = []
     seq_x, seq_y = ([np.frombuffer(r["seq"], np.uint64) for r in z] for z in (x, y))
+    if len(i):
+        bx, by = (np.stack([bins(s, BLOCK_BINS) for s in z]) for z in (seq_x, seq_y))
+        apart = np.concatenate([np.abs(bx[i[k : k + TRIED]].astype(np.int32) - by[j[k : k + TRIED]]).sum(axis=1) for k in range(0, len(i), TRIED)])
+        ok = apart <= (nx[i] + ny[j]) * (1 - threshold) / (1 + threshold) + 1e-6
+        i, j = i[ok], j[ok]
     for k in np.argsort(-agree[i, j], kind="stable"):
         a, b = i[k], j[k]
         ra, rb = root(int(cx[a])), root(int(cy[b]))
@@ -238,7 +253,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     small_batches(docs.sparkSession)
     release(docs.sparkSession)
     rows = cut(_sketched(docs))
-    nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
+    nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bins").alias("bins"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = nodes.select("node", F.posexplode("sk").alias("band", "h"))
     lead = buckets.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
@@ -253,12 +268,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     # buckets whose members lie in several components
     placed = members.join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").withColumn("comp", F.coalesce("c_", "node")).drop("c_")
     mixed = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b AND size > 2").select("h", "size")
-    placed = cut(placed.join(mixed, "h").join(nodes.select("node", "n", "sk"), "node"))
+    placed = cut(placed.join(mixed, "h").join(nodes.select("node", "n", "sk", "bins"), "node"))
     if not placed.isEmpty():
-        few = placed.where((F.col("size") <= FEW) & (F.col("node") != F.col("lead"))).select("h", "node", "comp", "n", "sk")
-        other = few.select("h", F.col("node").alias("v"), F.col("comp").alias("d_"), F.col("n").alias("m"), F.col("sk").alias("sv"))
-        agree = F.expr(f"size(filter(zip_with(sk, sv, (x, y) -> x = y), t -> t)) >= {AGREE}")
-        close = few.join(other, (few["h"] == other["h"]) & (F.col("comp") < F.col("d_")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")) & agree)
+        few = placed.where((F.col("size") <= FEW) & (F.col("node") != F.col("lead"))).select("h", "band", "node", "comp", "n", "sk", "bins")
+        other = few.select("h", F.col("node").alias("v"), F.col("comp").alias("d_"), F.col("n").alias("m"), F.col("sk").alias("sv"), F.col("bins").alias("bv"))
+        first = F.expr("array_position(zip_with(sk, sv, (x, y) -> x = y), true) = band + 1")
+        apart = F.expr("aggregate(zip_with(bins, bv, (x, y) -> abs(CAST(x AS int) - y)), 0, (t, x) -> t + x)")
+        admits = (F.least("n", "m") >= threshold * F.greatest("n", "m")) & first & (apart <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+        close = few.join(other, (few["h"] == other["h"]) & (F.col("comp") < F.col("d_")) & admits)
         more = _verified(close.select(F.col("node").alias("u"), "v").distinct(), seqs, threshold).unionByName(_block_links(placed.where(F.col("size") > FEW), seqs, threshold))
         more = cut(more)
         if not more.isEmpty():

@@ -164,6 +164,33 @@ def test_neardup_large_mixed_bucket(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("few", [32, 2])
+def test_neardup_pairs_with_few_agreements(spark, monkeypatch, few):
+    """Pairs at the threshold that agree in one or two sketches, each with a third text in the same buckets that joins neither."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = np.random.default_rng(8)
+    texts, pairs = [], []
+    while len(pairs) < 20:
+        base = [str(k) for k in rng.integers(0, 10**9, 13)]
+        three = [" ".join(base[:8]), " ".join(base[:9]), " ".join(base[:8] + base[9:])]
+        seqs = neardup.labelled(three)
+        a, b, c = (neardup.sketch(s) for s in seqs)
+        if 1 <= (a == b).sum() <= 2 and (c[a == b] == a[a == b]).all() and neardup.aligned(seqs[0], seqs[1]) > 0 and not neardup.aligned(seqs[0], seqs[2]) and not neardup.aligned(seqs[1], seqs[2]):
+            pairs.append((len(texts), len(texts) + 1))
+            texts += three
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[u] == got[v] != got[v + 1] for u, v in pairs)
+
+
+def test_bins_bound_the_differing_windows():
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for k in (0, 30, 300):
+        b = np.concatenate([a[k:], rng.integers(0, 2**63, k).astype(np.uint64)])
+        for n in (neardup.BINS, neardup.BLOCK_BINS):
+            assert np.abs(neardup.bins(a, n).astype(int) - neardup.bins(b, n)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_neardup_edges(awkward, nothing):
     got = [(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicate_classes(awkward).collect()]
     assert Counter(got) == Counter([(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (None, None, 1), (5, 5, 2), (6, 5, 2), (7, 7, 2), (7, 7, 2), (8, 8, 1), (8, 8, 1), (9, 9, 1)])
