@@ -1,8 +1,8 @@
 r"""License scans: ordered signature rules behind a keyword gate, with suppression of contained detections.
 
 A text is lower-cased in A-Z and cut into words ([0-9a-z] and everything beyond ASCII); rules are regular
-expressions over the words joined by single blanks. Only texts that hold one of the gate's keywords are scanned, and a
-rule is tried only where its own keyword occurs. All rules' detections are then swept in order of start,
+expressions over the words joined by single blanks. Only texts whose words hold a keyword that some rule's or base phrase's
+matches hold are scanned, and a rule is tried only where its own keyword occurs. All rules' detections are then swept in order of start,
 the longer first: one that lies within a detection of the same or better priority is suppressed (an
 "apache" name inside "licensed under the apache license version 2 0"). Labels of the surviving detections join
 those of the base phrases, which always stay.
@@ -15,10 +15,12 @@ Defined results: null is read as empty (0 words, no label, score 0); repeated ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Base phrases and labels.
@@ -112,8 +114,8 @@ OWN = [
     ("proprietary", "may not be reproduced", r"may not be reproduced", 3),
     ("noai", "not be used for training", r"(may|must|shall) not be used for training", 2),
 ]
-#: A text without any of these, in lower case, holds no rule's match and no base phrase.
-GATE = ("licen", "spdx", "copyright", "rights", "cc", "public", "permission", "redistribution", "free software", "as is", "warrant", "proprietary", "reproduced", "training", "creativecommons")
+#: Words of which every match of an invocation holds one.
+INVOKED = ("licen", " under ", " by ", "subject to ")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
@@ -154,18 +156,20 @@ def _places(phrase: str) -> str:
     return f"CASE WHEN contains(x, {_literal(' ' + phrase + ' ')}) THEN filter(sequence(0, size(w) - {len(words)}), i -> {test}) ELSE CAST(array() AS array<int>) END"
 
 
+def _any_of(keys: Iterable[str]) -> Column:
+    """Whether the words hold one of the keys."""
+    return reduce(Column.__or__, [F.contains(F.col("x"), F.lit(key)) for key in keys])
+
+
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections of every row; map-only."""
     at = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    low = F.lower("t")
-    gate = F.lit(False)
-    for key in GATE:
-        gate = gate | F.contains(F.col("low"), F.lit(key))
-    at = at.withColumn("low", low).select("doc_id", F.size(F.regexp_extract_all("t", F.lit(WORD_ANY_CASE), F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.col("t")).alias("t"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.regexp_extract_all(F.translate("t", upper, upper.lower()), F.lit(WORD), F.lit(0))
-    at = at.select("doc_id", "n_words", F.when(F.col("t").isNotNull(), words).otherwise(F.expr("CAST(array() AS array<string>)")).alias("w"))
-    at = at.withColumn("x", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).withColumn("rules", F.expr(_rules_sql()))
+    at = at.select("doc_id", F.regexp_extract_all(F.translate("t", upper, upper.lower()), F.lit(WORD), F.lit(0)).alias("w"))
+    at = at.select("doc_id", F.size("w").cast("long").alias("n_words"), "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("x"))
+    own = _any_of([*BASE, *dict.fromkeys(key for _, key, _, _ in OWN)])
+    gate = own | (_any_of(INVOKED) & _any_of(dict.fromkeys(key for _, key, _ in NAMES)))
+    at = at.withColumn("w", F.when(gate, F.col("w")).otherwise(F.expr("CAST(array() AS array<string>)"))).withColumn("rules", F.expr(_rules_sql()))
     at = at.select("doc_id", "n_words", *[F.expr(_places(p)).alias(f"p{k}") for k, p in enumerate(BASE)], F.expr(f"CASE WHEN size(w) > 0 THEN {_SPANS} ELSE {_NOTHING} END").alias("d"))
     places = F.concat(*[F.col(f"p{k}") for k in range(len(BASE))])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(BASE.values())])))

@@ -456,6 +456,21 @@ def test_licenses(spark, awkward, nothing):
     assert len(rows) == 12 and {r.labels for r in rows} == {""} and licenses.license_scan(nothing).count() == 0
 
 
+def test_licenses_gate(spark):
+    """Texts that hold no word but those of their one rule."""
+    want = {
+        "released under the MIT": "mit", "distributed under GPL v3": "gpl-3.0", "available under Apache 2.0": "apache-2.0", "subject to the terms of the BSD": "bsd",
+        "provided AS-IS": "warranty-disclaimer", "this program is free\nsoftware; you can redistribute it": "gpl", "governed by zlib": "zlib",
+    }
+    _labels(spark, want)
+
+
+def _labels(spark, want):
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()}
+    for i, (t, label) in enumerate(want.items()):
+        assert label in got[i].labels.split(",") and got[i].n_detections >= 1 and got[i].score > 0, (t, got[i].labels)
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 
