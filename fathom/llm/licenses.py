@@ -31,12 +31,13 @@ NAMES = [
     ("apache-2.0", "apache", r"apache( software)?( licen[sc]e)?( version)? 2( 0)?"),
     ("apache-1.1", "apache", r"apache( software)?( licen[sc]e)?( version)? 1 1"),
     ("apache", "apache", r"apache( software)?( licen[sc]e)?"),
-    ("mit", "mit", r"(mit|expat)( x11)?"),
+    ("mit", "mit", r"mit( x11)?"),
+    ("mit", "expat", r"expat( x11)?"),
     ("bsd-2-clause", "bsd", r"(simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", "bsd", r"((new|modified|revised) bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"((original|old) bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
     ("bsd", "bsd", r"bsd( style)?"),
-    ("0bsd", "0bsd", r"(bsd zero clause|zero clause bsd|0bsd)"),
+    ("0bsd", "bsd", r"(bsd zero clause|zero clause bsd|0bsd)"),
     ("gpl-1.0", "gpl", r"gpl ?v?1( 0)?( only| or later)?"),
     ("gpl-2.0", "gpl", r"(gnu )?gpl ?(v|version )?2( 0)?( only| or later)?"),
     ("gpl-3.0", "gpl", r"(gnu )?gpl ?(v|version )?3( 0)?( only| or later)?"),
@@ -60,10 +61,10 @@ NAMES = [
     ("zlib", "zlib", r"zlib( libpng)?"),
     ("boost", "boost software", r"boost software"),
     ("artistic-2.0", "artistic", r"artistic( licen[sc]e)? 2( 0)?"),
-    ("artistic", "artistic licen", r"artistic"),
+    ("artistic", "artistic", r"artistic"),
     ("python", "python software foundation", r"python software foundation"),
-    ("ruby", "ruby licen", r"ruby"),
-    ("php", "php licen", r"php"),
+    ("ruby", "ruby", r"ruby"),
+    ("php", "php", r"php"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "do what the f", r"do what the f\S* you want to public"),
     ("ofl", "open font", r"(sil )?open font"),
@@ -72,9 +73,9 @@ NAMES = [
     ("ms-pl", "microsoft public", r"microsoft public"),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal"),
     ("openssl", "openssl", r"openssl"),
-    ("postgresql", "postgresql licen", r"postgresql"),
+    ("postgresql", "postgresql", r"postgresql"),
     ("afl", "academic free", r"academic free"),
-    ("osl", "open software licen", r"open software"),
+    ("osl", "open software", r"open software"),
     ("cecill", "cecill", r"cecill( b| c)?( 2 1)?"),
     ("cc0", "cc0", r"cc0( 1 0)?( universal)?"),
     ("cc-by-sa", "attribution share", r"(creative commons )?attribution share ?alike( \d \d)?( international| unported)?"),

@@ -465,6 +465,37 @@ def test_licenses_gate(spark):
     _labels(spark, want)
 
 
+def test_licenses_keywords(spark):
+    """Alternatives of a name that don't hold the name's usual word, and every match of a rule holds its keyword."""
+    want = {"zero clause bsd license": "0bsd", "bsd zero clause license": "0bsd", "licensed under the Expat license": "mit", "licensed under PHP": "php"}
+    want |= {"released under the Artistic": "artistic", "released under Ruby": "ruby", "available under PostgreSQL": "postgresql", "released under the open software": "osl"}
+    rng = random.Random(4)
+
+    def made(tree):
+        out = ""
+        for op, x in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "IN":
+                out += {"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: "7"}[str((y := rng.choice(x))[0])](y[1])
+            elif op == "SUBPATTERN":
+                out += made(x[-1])
+            elif op == "BRANCH":
+                out += made(rng.choice(x[1]))
+            elif op == "MAX_REPEAT":
+                out += "".join(made(x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+            else:
+                assert op in ("ASSERT",), op
+        return out
+
+    for rule in licenses.rules():
+        for _ in range(30):
+            got = f" {made(re._parser.parse(rule[1]))} "
+            assert re.search(rule[1], got) and rule[0] in got, rule
+    _labels(spark, want)
+
+
 def _labels(spark, want):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()}
     for i, (t, label) in enumerate(want.items()):
