@@ -520,3 +520,14 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in got}
     assert ids and not ids & {100, 102, 103} and ids <= {r[0] for r in rows}
+
+
+def test_pair_rule_against_merging():
+    """The walk along two tokens' halves says the same as merging their joined text."""
+    c, rng = piece_codec.PieceCodec(piece_codec.public_model()), random.Random(5)
+    ids = sorted(c.ids)
+    short = [p for p in ids if len(p) <= 3]
+    for k in range(4000):
+        a, b = (rng.choice(ids if k % 2 else short) for _ in range(2))
+        if a in c.regular and b in c.regular:
+            assert c._stay_apart(a, b) == (c.merge(a + b) == [a, b]), (a, b)
