@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import ctypes
-import gc
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,30 +41,83 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; make a local one only where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which all executors share; a temporary one only in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "fathom-checkpoints"))
+    if named:
+        return named.rstrip("/")
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "fathom-checkpoints")
 
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that Spark reads it with."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches in which the session hands texts to Python workers; smaller settings stay."""
-    for name, most, unit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, ""), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b")):
-        now = int(spark.conf.get(name, f"{most}{unit}").rstrip("b"))
-        if now <= 0 or now > most:
-            spark.conf.set(name, f"{most}{unit}")
+class Tables:
+    """Tables that an operator writes to the shared folder to cut its lineage: parquet, so later steps read the columns they use.
 
+    The shuffle files of the step that made a table go as soon as it's written. ``drop`` deletes tables that no later step reads; those that a
+    returned DataFrame reads are deleted when the program ends.
+    """
+
+    FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, {}
+        self.base = f"{shared_folder(spark)}/fathom-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove(self.spark, self.base)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df and go on from what was written."""
+        path, conf = f"{self.base}/{len(self.made)}", self.spark.conf
+        old = conf.get(self.FILES)
+        conf.set(self.FILES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(self.FILES, old)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, made in list(self.made.items()):
+            if any(made is t for t in tables):
+                remove(self.spark, path)
+                self.made[path] = None
+
+
+#: A key is heavy if it holds more than this share of the rows, so there are at most 1000 heavy keys.
+HEAVY_SHARE = 0.001
+HEAVY_LEAST = 8
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def skewed_join(big: DataFrame, side: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Inner join of big with side, unique in keys and written already, whose column n counts big's rows by key.
+
+    Rows of heavy keys, a thousand at most, meet side by broadcast where they lie, so that no key fills one task; the rest is shuffled.
+    side's rows have to be small. n isn't passed on.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    least = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
+    heavy = side.where(F.col(n) > least).drop(n)
+    rare = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= least).drop(n), keys)
+    return rare.unionByName(big.join(F.broadcast(heavy), keys))
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Batches cut into pieces of so many rows, to bound what is made of them at once."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.iloc[lo : lo + rows]
 
 
 def fresh_name(base: str, taken: list[str]) -> str:
@@ -73,14 +128,6 @@ def fresh_name(base: str, taken: list[str]) -> str:
     return base
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints of finished steps now rather than at some later collection, and give back the driver's memory."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
-        ctypes.CDLL(None).malloc_trim(0)
-    spark.sparkContext._jvm.System.gc()
-
-
 class Recent(dict):
     """A bounded store for Python workers: when it is full, what wasn't asked for since the last time goes.
 

@@ -1,34 +1,41 @@
-"""Connected components by alternating large and small stars; state is one row an edge."""
+"""Connected components by alternating large and small stars; state is one row an edge.
+
+Defined results: loops and repeated edges count for nothing, an empty table gives an empty result; ids that are null have no component.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import Tables, skewed_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tables: Tables) -> DataFrame:
     """Links each node's neighbours to its least neighbour: all larger ones (large), or those up to itself (small)."""
     u, v = F.col("u"), F.col("v")
     both = edges.select("u", "v").unionByName(edges.select(v.alias("u"), u.alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    least = tables.cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    linked = skewed_join(both, least, ["u"])  # a large star's centre is in as many rows as it has rays
     out = linked.where("v > u").select(v.alias("u"), F.col("m").alias("v")) if large else linked.select(v.alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    made = tables.cut(out.where("u != v").distinct())
+    tables.drop(least)
+    return made
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """u, v for each node u of edges(u, v: long) that isn't the least of its component, which is v.
 
     Rounds grow with the logarithm of the longest path; only two numbers a round come to the driver.
     """
-    now = cut(edges.where("u != v").select("u", "v").distinct())
-    seen = None
+    tables = tables or Tables(edges.sparkSession)
+    now, seen = tables.cut(edges.where("u != v").select("u", "v").distinct()), None
     while True:
-        now = cut(_star(_star(now, True), False))
         r = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if r == seen or not r[0]:
             return now
         seen = r
-        release(edges.sparkSession)  # a round's shuffles are of no use to the next
+        large = _star(now, True, tables)
+        small = _star(large, False, tables)
+        tables.drop(now, large)
+        now = small

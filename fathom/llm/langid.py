@@ -5,11 +5,14 @@ Each language has a codeword; each bit is a binary logistic classifier on the te
 the classifier's logistic loss against the codeword's bit, weighted by how well the bit was learned;
 the nearest codeword wins, and a text whose two nearest codewords lie close together is flagged.
 
-Training uses a bounded sample (``TRAIN_ROWS_PER_LANGUAGE`` rows of each language, chosen by a hash of
-the id); prediction reads every whole text, map-only, with memory bounded per text by ``CHUNK`` bytes.
+Training uses a bounded sample: of each language up to ``TRAIN_ROWS_PER_LANGUAGE`` different rows, of all together up to
+``TRAIN_ROWS``, chosen by a hash of id and text; a share of each language's rows is drawn by that hash before any of them
+meet in a task. Prediction reads every whole text, map-only, with memory bounded per text by ``CHUNK`` bytes.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled row everything is
-``und``; with one language everything with a letter is that language. Rows without an id or label never train.
+``und``; with one language everything with a letter is that language. Rows without an id or label never train; rows equal in id and text train
+once; of rows equal in text but not in label each trains for its own. Ties between languages go to the lesser name. An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, release, small_batches
+from .common import held_out, row_key, slices
 
-TRAIN_ROWS_PER_LANGUAGE = 400
+TRAIN_ROWS_PER_LANGUAGE = 500
+TRAIN_ROWS = 4000
 TRAIN_MOST_CHARS = 20_000
-BITS = 12
+BITS = 13
 DIMENSIONS = 1 << BITS
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 20
@@ -73,7 +77,8 @@ def codewords(n: int) -> np.ndarray:
     if n <= 6:
         splits = [[1] + [1 if k >> i & 1 else -1 for i in range(n - 1)] for k in range(2 ** (n - 1) - 1)]
         return np.array(splits).T.reshape(n, -1)
-    rng, best, most = np.random.default_rng(SEED), None, -1
+    # one against the rest, unless a random code lies further apart
+    rng, best, most = np.random.default_rng(SEED), 2 * np.eye(n, dtype=int) - 1, 2
     for _ in range(200):
         code = rng.choice([-1, 1], size=(n, int(10 * np.ceil(np.log2(n)))))
         if (abs(code.sum(0)) == n).any():
@@ -131,65 +136,77 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 150) -> Model:
     return Model(languages, code, w, b, np.maximum(2 * right - 1, 0.05))
 
 
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS_PER_LANGUAGE, total: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, lang, text, k (place in its language) of at most so many different rows a language, and so many in all, that may train a model."""
+    able = docs.select("doc_id", "lang", "text", row_key().alias("key")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_MOST_CHARS))
+    # one row a language; half as many again as are wanted are drawn, so that the estimate of the count may be off
+    sizes = able.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    counted = sizes.count()
+    most = max(1, min(rows, total // max(1, counted)))
+    share = sizes.select(F.col("lang").alias("lang_"), F.least(F.lit(1.0), F.lit(1.5 * most) / F.col("n") + F.lit(20.0) / F.col("n")).alias("share"))
+    drawn = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    few = able.join(F.broadcast(share), F.col("lang") == F.col("lang_")).where(drawn).groupBy("key", "lang").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit(SEED)), "key")
+    return few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "lang", "text", "k")
+
+
 def train(docs: DataFrame) -> Model:
     """Model of docs(doc_id, text, lang) learned from a bounded sample of its rows that aren't held out."""
-    small_batches(docs.sparkSession)
-    able = docs.select("doc_id", "lang", "text").where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id")
-    chosen = able.where(F.length("text") <= TRAIN_MOST_CHARS).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_ROWS_PER_LANGUAGE).select(F.col("doc_id").alias("id_"))
-    # at most TRAIN_ROWS_PER_LANGUAGE ids a language
-    rows = able.where(F.length("text") <= TRAIN_MOST_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select("doc_id", "lang", "text")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             c = [counts(t) for t in b["text"]]
             at = [np.flatnonzero(v) for v in c]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [i.astype(np.int32) for i in at], "n": [v[i].astype(np.int32) for v, i in zip(c, at, strict=True)]})
+            yield pd.DataFrame({"lang": b["lang"], "k": b["k"], "at": [i.astype(np.int32) for i in at], "n": [v[i].astype(np.int32) for v, i in zip(c, at, strict=True)]})
 
-    got = rows.mapInPandas(sparse, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, at array<int>, n array<int>").toPandas()
+    # TRAIN_ROWS rows at most
+    got = sample(docs).mapInPandas(sparse, "lang string, k int, at array<int>, n array<int>").toPandas()
     if not len(got):
         return Model([])
-    got = got.sort_values(["lang", "doc_id"], kind="stable")
+    got = got.sort_values(["lang", "k"])
     x = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
     for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
         x[i, at] = np.sqrt(n)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    model = fit(x, got["lang"].tolist())
-    del got, x
-    release(docs.sparkSession)
-    return model
+    return fit(x, got["lang"].tolist())
 
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every row; map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             langs, scores, close = model.predict(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": langs, "score": scores, "ambiguous": close})
 
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose language can be told (not ``und``), with null languages filled in; columns as in docs.
+    """Rows of docs whose language can be told, with null languages filled in; columns as in docs.
 
-    Ambiguous texts are flagged by predict_languages but stay: a mixed text is no broken one.
+    Rejected are texts without a letter, and ambiguous ones (no language is near) whose label the nearest codeword contradicts or that have none.
+    A model without a language tells letters only.
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     names = docs.columns
     text, lang = names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, _, _ = model.predict(b.column(text).to_pylist())
-            if lang is not None and b.column(lang).null_count:
-                filled = [p if v is None and p != UNDETERMINED else v for v, p in zip(b.column(lang).to_pylist(), langs, strict=True)]
-                b = b.set_column(lang, b.schema.field(lang), pa.array(filled, b.schema.field(lang).type))
-            yield b.filter(pa.array([v != UNDETERMINED for v in langs]))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                texts = b.column(text).to_pylist()
+                if not model.languages:
+                    yield b.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                    continue
+                langs, _, close = model.predict(texts)
+                own = b.column(lang).to_pylist() if lang is not None else [None] * len(langs)
+                if None in own and lang is not None:
+                    filled = [p if v is None and p != UNDETERMINED else v for v, p in zip(own, langs, strict=True)]
+                    b = b.set_column(lang, b.schema.field(lang), pa.array(filled, b.schema.field(lang).type))
+                yield b.filter(pa.array([p != UNDETERMINED and (not c or p == v) for p, c, v in zip(langs, close, own, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,79 +5,80 @@ hash functions the ``SAMPLE`` smallest labelled windows are taken *in the order
 a sketch if they share those windows and their order, so agreement follows edit similarity. Texts of fewer than K words
 are one window.
 
-Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket. Each bucket first
-links its members to its least node (a star, never all pairs), and the links are verified. Buckets whose
-members then lie in several components are looked at again: every pair across components is tried in the bucket of the first sketch
-in which it agrees and verified if its lengths and counts of windows by bin (``bins``) admit the threshold, which both hold for any
-pair that reaches it. Buckets of up to ``FEW`` members do so row by row, larger ones by blocks of members that meet in pairs, where only
-links that join components are passed on. Nothing is capped.
+Similarity. The words of two texts are aligned: the longest common subsequence within the band
+|i - j| <= (n + m) * (1 - s) / (1 + s), which holds the best alignment of any pair that reaches the threshold s. Similarity is aligned / (n + m - aligned),
+an ordered Jaccard similarity of words; links have at least ``THRESHOLD``. One word changed in ten is just a link.
 
-Verification. Labelled windows are unique, so matches of two texts form a one-to-one map; the longest increasing run
-of matches within the band |i - j| <= (n + m) * (1 - s) / (1 + s) is the best alignment of any pair that reaches the threshold
-s. Similarity is aligned / (n + m - aligned), an ordered Jaccard similarity; links have at least ``THRESHOLD``.
+Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket, which links its members to its least node (a star, never
+all pairs); the links are verified. Members of buckets that then lie in several components may still be alike without being like the
+least node. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
+words, so under any order of all words it shares one among the first n - ceil(s * n) + 1 of each; with rare words first such meetings are few. Every pair across
+components that meets is verified. Nothing is capped, and no bucket is treated by its size.
 
 Defined results: null texts and texts without a word are classes of their own row; rows equal in text are one
-class; class_id is the least doc_id of the class (null only where all ids are null); very long texts cost in proportion to their length.
+class; class_id is the least doc_id of the class (null only where all ids are null, ties by text key); rows equal in id and text are both in their
+class and one of them is kept; an empty table gives an empty result; very long texts cost in proportion to their length, their alignment to length times band over 64.
+Columns of docs other than doc_id and text are passed on whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, release, small_batches, text_key
+from .common import Tables, fresh_name, skewed_join, slices, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
 K = 5
-SKETCHES = 16
-SAMPLE = 3
+SKETCHES = 32
+SAMPLE = 2
 THRESHOLD = 0.8
-FEW = 32
-BLOCK = 1024
-BLOCK_WINDOWS = 1 << 17  # of a block's texts together, save for a single longer text
-VERIFY_ROWS = 500
-BINS = 64
-BLOCK_BINS = 512
-TRIED = 4096  # pairs whose bins are compared at once
+BINS = 256
+RARITY_BINS = 1 << 16
+ALIGN_BLOCK = 4096
+FEW_PLACES = 64
 
 _WORD = byte_class(b" \t\n\x0b\x0c\r")
+_HAS_WORD = r"[^\x20\x09-\x0D]"
 _LOWER = ascii_lower()
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
-def labelled(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text, its windows as unique 64-bit values in order: hash of the window and its number of earlier occurrences."""
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """Values made unique by the number of their earlier occurrences."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    if new.all():
+        return h
+    first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    nth = np.empty(len(s), np.uint64)
+    nth[order] = np.arange(len(s)) - first
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(h + nth * np.uint64(0xD6E8FEB86659FD93)), h)
+
+
+def labelled(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text, its words as 32-bit values and its labelled windows as unique 64-bit values, both in order."""
     h, starts = word_hashes(texts, _WORD, _LOWER)
     w, at = windows(h, starts, K)
-    out = []
+    words, seqs = [], []
     for i in range(len(texts)):
-        own = w[at[i] : at[i + 1]]
-        if not len(own):
-            words = h[starts[i] : starts[i + 1]]
-            if len(words):
-                own = np.zeros(1, np.uint64)
-                with np.errstate(over="ignore"):
-                    for x in words:
-                        own = mix(own * np.uint64(9) + x)
-            out.append(own)
-            continue
-        order = np.argsort(own, kind="stable")
-        s = own[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        if not new.all():
-            first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-            nth = np.empty(len(s), np.uint64)
-            nth[order] = np.arange(len(s)) - first
+        own, all_words = w[at[i] : at[i + 1]], h[starts[i] : starts[i + 1]]
+        if not len(own) and len(all_words):
+            own = np.zeros(1, np.uint64)
             with np.errstate(over="ignore"):
-                own = np.where(nth > 0, mix(own + nth * np.uint64(0xD6E8FEB86659FD93)), own)
-        out.append(own)
-    return out
+                for x in all_words:
+                    own = mix(own * np.uint64(9) + x)
+        words.append((all_words >> np.uint64(32)).astype(np.uint32))
+        seqs.append(occurrences(own))
+    return words, seqs
 
 
 def sketch(w: np.ndarray) -> np.ndarray:
@@ -91,7 +92,11 @@ def sketch(w: np.ndarray) -> np.ndarray:
             for lo in range(0, SKETCHES, step):
                 v = (w[None, :] ^ _SEEDS[lo : lo + step]) * np.uint64(0xBF58476D1CE4E5B9)
                 v ^= v >> np.uint64(29)
-                at[lo : lo + step] = np.argpartition(v, SAMPLE - 1, axis=1)[:, :SAMPLE]
+                rows = np.arange(len(v))
+                for k in range(SAMPLE):
+                    least = v.argmin(axis=1)
+                    at[lo : lo + step, k] = least
+                    v[rows, least] = np.iinfo(np.uint64).max
             at.sort(axis=1)
             picked = w[at]
         out = _SEEDS[:, 0].copy()
@@ -100,194 +105,197 @@ def sketch(w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bins(w: np.ndarray, n: int) -> np.ndarray:
-    """Windows of a labelled sequence by their value's bin.
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence of two word sequences whose matches lie at |i - j| <= band.
 
-    Two texts differ in as many windows at least as their bins differ; clipped, they differ less, never more.
+    Bit-parallel along b: bit i of the row is 0 where the subsequence grows at a's word i. b is worked off in blocks; a block
+    touches only the part of the row that its band covers, so masks are of that part.
     """
-    return np.minimum(np.bincount((w >> np.uint64(20)).astype(np.int64) % n, minlength=n), np.iinfo(np.int16).max).astype(np.int16)
-
-
-def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Ordered Jaccard similarity of two labelled sequences; exact from the threshold on, else 0."""
-    if not len(a) or not len(b):
+    row, matched = -1, 0  # all ones
+    low = 0  # bits below it are done and counted
+    for lo in range(0, len(b), ALIGN_BLOCK):
+        hi = min(lo + ALIGN_BLOCK, len(b))
+        start, end = max(0, lo - band), min(len(a), hi + band)
+        if start > low:
+            done = min(start, len(a)) - low
+            matched += done - (row & ((1 << done) - 1)).bit_count()
+            row >>= done
+            low += done
+        width = max(0, end - low)
+        full = (1 << width) - 1
+        places: dict[int, list[int]] = {}
+        for i, x in enumerate(a[low:end].tolist()):
+            places.setdefault(x, []).append(i)
+        masks: dict[int, int] = {}
+        part = row & full
+        near = (1 << (2 * band + 1)) - 1
+        banded = band < max(len(a), len(b))
+        for j, x in enumerate(b[lo:hi].tolist(), lo):
+            m = masks.get(x)
+            if m is None:
+                at = places.get(x)
+                if at is None:
+                    continue
+                m = 0
+                for i in at:
+                    m |= 1 << i
+                if width <= 2 * ALIGN_BLOCK or len(at) > FEW_PLACES:
+                    masks[x] = m
+            if banded:
+                left = j - band - low
+                m &= near << left if left >= 0 else near >> -left
+            u = part & m
+            if u:
+                part = ((part + u) | (part - u)) & full
+        row = (row & ~full) | part
+    rest = len(a) - low
+    return matched + rest - (row & ((1 << rest) - 1)).bit_count() if rest > 0 else matched
+
+
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Ordered Jaccard similarity of two word sequences; exact from the threshold on, else 0."""
+    n, m = len(a), len(b)
+    if not n or not m:
         return 0.0
-    need = threshold * (len(a) + len(b)) / (1 + threshold)
-    if min(len(a), len(b)) < need:
+    apart = (n + m) * (1 - threshold) / (1 + threshold) + 1e-9  # most words that aren't aligned, of both
+    if abs(n - m) > apart:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= (len(a) + len(b)) * (1 - threshold) / (1 + threshold)
-    i, j = i[near], j[near]
-    if len(i) < need:
+    if np.abs(np.bincount(a % BINS, minlength=BINS) - np.bincount(b % BINS, minlength=BINS)).sum() > apart:
         return 0.0
-    j = j[np.argsort(i)]
-    if (j[1:] > j[:-1]).all():
-        run = len(j)
-    else:
-        ends: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(ends, x)
-            ends[k : k + 1] = [x]
-        run = len(ends)
-    s = run / (len(a) + len(b) - run)
-    return s if s >= threshold else 0.0
+    run = aligned(a, b, int(apart))
+    s = run / (n + m - run)
+    return s if s >= threshold - 1e-12 else 0.0
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, n, sk, bins of every row."""
+def prefix_length(n: int, threshold: float) -> int:
+    return n - math.ceil(threshold * n - 1e-9) + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seqs = labelled(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tkey": b["tkey"], "n": [len(s) for s in seqs], "sk": [sketch(s) if len(s) else np.zeros(0, np.int64) for s in seqs], "bins": [bins(s, BINS) for s in seqs]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("tkey"), "text").mapInPandas(run, f"doc_id {kind}, tkey binary, n long, sk array<bigint>, bins array<smallint>")
+def _sketched(docs: DataFrame) -> DataFrame:
+    """tkey, n, sk, seq (bytes of the words) of every row with a word."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            words, seqs = labelled(b["text"].tolist())
+            yield pd.DataFrame({"tkey": b["tkey"], "n": [len(s) for s in words], "sk": [sketch(s) for s in seqs], "seq": [s.tobytes() for s in words]})
 
-def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, seq (bytes of the labelled sequence) of nodes(node, tkey, doc_id)."""
+    return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(run, "tkey binary, n long, sk array<bigint>, seq binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "seq": [s.tobytes() for s in labelled(b["text"].tolist())]})
 
-    rows = docs.select(F.col("doc_id").alias("d_"), text_key().alias("t_"), "text").join(nodes, (F.col("t_") == F.col("tkey")) & F.col("d_").eqNullSafe(F.col("doc_id")))
-    return rows.select("node", "text").mapInPandas(run, "node long, seq binary")
+def _with_sequence(pairs: DataFrame, nodes: DataFrame, end: str, name: str, total: int) -> DataFrame:
+    """pairs with the sequence of one end; a node in many pairs is handed out in several copies, each for a part of them."""
+    share = max(64, total // 1000)
+    often = F.broadcast(pairs.groupBy(end).agg(F.count("*").alias("k")).where(F.col("k") > share).select(F.col(end).alias("node"), F.ceil(F.col("k") / share).cast("int").alias("parts")))  # a thousand at most
+    other = "u" if end == "v" else "v"
+    left = pairs.join(often.withColumnRenamed("node", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = nodes.select("node", "seq").join(often, "node", "left").select(F.col("node").alias(end), F.col("seq").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return left.join(right, [end, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tables) -> DataFrame:
     """Those of pairs(u, v) that align at the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) > 0 for x, y in zip(b["x"], b["y"], strict=True)]
+            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) > 0 for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[ok, ["u", "v"]]
 
-    both = pairs.join(seqs.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u").join(seqs.select(F.col("node").alias("v"), F.col("seq").alias("y")), "v")
-    release(pairs.sparkSession)
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = conf.get(name)
-    conf.set(name, str(VERIFY_ROWS))  # rows hold two sequences each
-    try:
-        return cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long").distinct())
-    finally:
-        conf.set(name, old)
+    pairs = tables.cut(pairs)
+    total = pairs.count()
+    both = _with_sequence(_with_sequence(pairs, nodes, "u", "x", total), nodes, "v", "y", total)
+    out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"))
+    tables.drop(pairs)
+    return out
 
 
-def _block_links(placed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """u, v: links between components in large buckets, as many as join what can be joined.
+def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """u, v of members(node, comp, n, seq) in different components that may reach the threshold: they share a word of their prefixes, rare words first."""
 
-    Members are sorted by component into blocks of up to ``BLOCK`` members and ``BLOCK_WINDOWS`` windows; every two blocks of a bucket that aren't of one component meet in a
-    row of their own, where pairs are tried in order of agreeing sketches, until all are tried or already joined.
-    """
-    order = Window.partitionBy("h", "salt").orderBy("comp", "node")
-    # large buckets are cut by a hash of the component first, so that no task sorts one whole
-    at = placed.withColumn("salt", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / (16 * BLOCK))).cast("int"))
-    at = at.withColumn("blk", F.floor((F.sum(F.greatest(F.col("n"), F.lit(BLOCK_WINDOWS // BLOCK))).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_WINDOWS).cast("long"))
-    at = at.withColumn("blk", F.col("salt").cast("long") * (1 << 32) + F.col("blk"))
-    blocks = at.join(seqs, "node").groupBy("h", "band", "blk").agg(F.collect_list(F.struct("node", "comp", "n", "sk", "seq")).alias("x"))
-    named = at.groupBy("h", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    second = named.select("h", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meets = named.join(second, "h").where("blk <= blk2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("h", "blk", "blk2")
-    rows = meets.join(blocks, ["h", "blk"]).join(blocks.select("h", F.col("blk").alias("blk2"), F.col("x").alias("y")), ["h", "blk2"])
+    def tokens(seq: bytes) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return occurrences(mix(np.frombuffer(seq, np.uint32).astype(np.uint64) + np.uint64(1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(RARITY_BINS, np.int64)
         for b in batches:
-            for band, same, x, y in zip(b["band"], b["same"], b["x"], b["y"], strict=True):
-                found = _join_blocks(int(band), bool(same), list(x), list(y), threshold)
-                if found:
-                    yield pd.DataFrame(found, columns=["u", "v"])
-
-    release(placed.sparkSession)
-    conf, name = placed.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = conf.get(name)
-    conf.set(name, "4")  # a row holds two blocks of sequences
-    try:
-        return cut(rows.select("band", (F.col("blk") == F.col("blk2")).alias("same"), "x", "y").mapInPandas(run, "u long, v long"))
-    finally:
-        conf.set(name, old)
-
-
-def _join_blocks(band: int, same: bool, x: list, y: list, threshold: float) -> list[tuple[int, int]]:
-    """Links that join components across two blocks (or within one), by union-find."""
-    parent: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while parent.setdefault(c, c) != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    sx, sy = (np.stack([np.asarray(r["sk"], dtype=np.int64) for r in z]) for z in (x, y))
-    nx, ny = (np.array([r["n"] for r in z]) for z in (x, y))
-    cx, cy = (np.array([r["comp"] for r in z]) for z in (x, y))
-    agree = np.zeros((len(x), len(y)), dtype=np.int8)
-    first = np.full(agree.shape, SKETCHES, dtype=np.int8)
-    for k in reversed(range(SKETCHES)):
-        eq = sx[:, k][:, None] == sy[:, k][None]
-        agree += eq
-        first[eq] = k
-    # a pair is tried in the bucket of the first sketch in which it agrees only
-    ok = (first == band) & (cx[:, None] != cy[None]) & (np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny))
-    if same:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    out = []
-    seq_x, seq_y = ([np.frombuffer(r["seq"], np.uint64) for r in z] for z in (x, y))
-    if len(i):
-        bx, by = (np.stack([bins(s, BLOCK_BINS) for s in z]) for z in (seq_x, seq_y))
-        apart = np.concatenate([np.abs(bx[i[k : k + TRIED]].astype(np.int32) - by[j[k : k + TRIED]]).sum(axis=1) for k in range(0, len(i), TRIED)])
-        ok = apart <= (nx[i] + ny[j]) * (1 - threshold) / (1 + threshold) + 1e-6
-        i, j = i[ok], j[ok]
-    for k in np.argsort(-agree[i, j], kind="stable"):
-        a, b = i[k], j[k]
-        ra, rb = root(int(cx[a])), root(int(cy[b]))
-        if ra != rb and aligned(seq_x[a], seq_y[b], threshold) > 0:
-            parent[ra] = rb
-            out.append((int(x[a]["node"]), int(y[b]["node"])))
+            for s in b["seq"]:
+                out += np.bincount((tokens(s) >> np.uint64(48)).astype(np.int64), minlength=RARITY_BINS)
+        at = np.flatnonzero(out)
+        yield pd.DataFrame({"bin": at, "n": out[at]})
+
+    often = np.zeros(RARITY_BINS, np.int64)
+    for r in members.select("seq").mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # RARITY_BINS rows at most
+        often[r["bin"]] = r["n"]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            found = []
+            for s in b["seq"]:
+                t = tokens(s)
+                found.append(t[np.lexsort((t, often[(t >> np.uint64(48)).astype(np.int64)]))[: prefix_length(len(t), threshold)]].view(np.int64))
+            size = [len(f) for f in found]
+            yield pd.DataFrame({"token": np.concatenate(found), **{c: np.repeat(b[c].to_numpy(), size) for c in ("node", "comp", "n")}})
+
+    words = tables.cut(members.mapInPandas(prefixes, "token long, node long, comp long, n long"))
+    shared = tables.cut(words.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b").select("token", "times"))
+    words_shared = tables.cut(skewed_join(words, shared, ["token"], "times"))
+    tables.drop(words, shared)
+    # a word's largest component meets the others, and those each other, but never itself
+    major = words_shared.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    minor = words_shared.join(major, "token").where("comp != major").select("token", "major", F.col("node").alias("v"), F.col("comp").alias("d"), F.col("n").alias("m"))
+    meet = words_shared.join(minor, "token").where((F.col("comp") != F.col("d")) & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("v"))) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    out = tables.cut(meet.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct())
+    tables.drop(words_shared)
     return out
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tkey (of the text), class_id, class_size (rows), keep (the row stands for its class) of every row of docs(doc_id, text)."""
-    small_batches(docs.sparkSession)
-    release(docs.sparkSession)
-    rows = cut(_sketched(docs))
-    nodes = rows.where("n > 0").groupBy("tkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bins").alias("bins"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    buckets = nodes.select("node", F.posexplode("sk").alias("band", "h"))
-    lead = buckets.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
-    members = cut(buckets.join(lead, "h").select("h", "node", "lead", "band"))
-    release(docs.sparkSession)
+def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes(node, tkey, ...) of the different texts with a word; u, v of the nodes that aren't the least of their class, and that one)."""
+    tables = tables or Tables(docs.sparkSession)
+    nodes = _sketched(docs).groupBy("tkey").agg(F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("seq").alias("seq"))
+    nodes = tables.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = nodes.select("node", F.explode("sk").alias("h"))
+    lead = tables.cut(buckets.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("times")).where("times > 1"))
+    members = tables.cut(skewed_join(buckets, lead, ["h"], "times"))
+    sizes = lead.select("h", "times")
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    ids = members.select("node").distinct()
-    seqs = cut(_sequences(docs, nodes.join(ids, "node").select("node", "tkey", "doc_id")).dropDuplicates(["node"]))
-    release(docs.sparkSession)
-    parts = components(_verified(pairs, seqs, threshold))
-    release(docs.sparkSession)
-    # buckets whose members lie in several components
-    placed = members.join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").withColumn("comp", F.coalesce("c_", "node")).drop("c_")
-    mixed = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b AND size > 2").select("h", "size")
-    placed = cut(placed.join(mixed, "h").join(nodes.select("node", "n", "sk", "bins"), "node"))
-    if not placed.isEmpty():
-        few = placed.where((F.col("size") <= FEW) & (F.col("node") != F.col("lead"))).select("h", "band", "node", "comp", "n", "sk", "bins")
-        other = few.select("h", F.col("node").alias("v"), F.col("comp").alias("d_"), F.col("n").alias("m"), F.col("sk").alias("sv"), F.col("bins").alias("bv"))
-        first = F.expr("array_position(zip_with(sk, sv, (x, y) -> x = y), true) = band + 1")
-        apart = F.expr("aggregate(zip_with(bins, bv, (x, y) -> abs(CAST(x AS int) - y)), 0, (t, x) -> t + x)")
-        admits = (F.least("n", "m") >= threshold * F.greatest("n", "m")) & first & (apart <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
-        close = few.join(other, (few["h"] == other["h"]) & (F.col("comp") < F.col("d_")) & admits)
-        more = _verified(close.select(F.col("node").alias("u"), "v").distinct(), seqs, threshold).unionByName(_block_links(placed.where(F.col("size") > FEW), seqs, threshold))
-        more = cut(more)
+    linked = _verified(pairs, nodes, threshold, tables)
+    parts = components(linked, tables)
+    placed = members.select("h", "node").join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").select("h", "node", F.coalesce("c_", "node").alias("comp"))
+    placed = tables.cut(placed)
+    tables.drop(members)
+    # buckets of three and more whose members lie in several components
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b AND times > 2").select("h", "times")
+    mixed = tables.cut(mixed)
+    loose = tables.cut(skewed_join(placed, mixed, ["h"], "times").select("node", "comp").distinct().join(nodes.select("node", "n", "seq"), "node"))
+    tables.drop(placed, mixed, lead)
+    if not loose.isEmpty():
+        more = _verified(_prefix_pairs(loose, threshold, tables), nodes, threshold, tables)
         if not more.isEmpty():
-            parts = components(parts.unionByName(more))
+            parts = components(parts.unionByName(more), tables)
+    tables.drop(loose, linked)
+    return nodes, parts
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tkey (of the text), class_id, class_size (rows), keep (the row stands for its class) of every row of docs(doc_id, text)."""
+    tables = Tables(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    nodes, parts = links(docs, threshold, tables)
+    rows = tables.cut(docs.select("doc_id", text_key().alias("tkey"), F.coalesce(F.rlike("text", F.lit(_HAS_WORD)), F.lit(False)).alias("worded")))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    texts = rows.where("worded").groupBy("tkey").agg(F.min(least).alias("first"), F.count("*").alias("times"))
     named = nodes.select("tkey", "node").join(parts.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("tkey").alias("t_"), F.coalesce("v", "node").alias("comp"))
-    placed = cut(rows.select("doc_id", "tkey", "n").join(named, F.col("tkey") == F.col("t_"), "left").select("doc_id", "tkey", "n", "comp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first")
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(first, F.count("*").alias("class_size")).withColumnRenamed("comp", "c_")
-    out = placed.join(least, F.col("comp") == F.col("c_"), "left")
-    alone = F.col("comp").isNull()
-    keep = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey")))
-    return out.select("doc_id", "tkey", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), keep.alias("keep"))
+    texts = tables.cut(texts.join(named, F.col("tkey") == F.col("t_")).drop("t_"))
+    tables.drop(nodes, parts)
+    classes = tables.cut(texts.groupBy("comp").agg(F.min("first").alias("head"), F.sum("times").alias("class_size"), F.count("*").alias("n_texts")))
+    of_text = tables.cut(skewed_join(texts.select("comp", "tkey", "times"), classes, ["comp"], "n_texts").select("tkey", "head", "class_size", "times"))
+    tables.drop(texts, classes)
+    placed = skewed_join(rows.where("worded").drop("worded"), of_text, ["tkey"], "times")
+    keep = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey"))
+    placed = placed.select("doc_id", "tkey", F.col("head.doc_id").alias("class_id"), "class_size", keep.alias("keep"))
+    alone = rows.where("NOT worded").select("doc_id", "tkey", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep"))
+    return placed.unionByName(alone)
 
 
 def dedup_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,7 +306,7 @@ def dedup_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = docs.columns
     tkey, ident = fresh_name("tkey_", names), fresh_name("id_", names)
     classes = near_duplicate_classes(docs, threshold)
-    alone = docs.where(F.col("text").isNull() | ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
-    keep = classes.where("keep").select(F.col("doc_id").alias(ident), F.col("tkey").alias(tkey)).distinct()
-    rows = docs.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).withColumn(tkey, text_key()).join(keep.withColumnRenamed(tkey, tkey + "k"), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(tkey) == F.col(tkey + "k")))
-    return rows.dropDuplicates(["doc_id", tkey]).select(*[F.col(f"`{c}`") for c in names]).unionByName(alone)
+    has_word: Column = F.coalesce(F.rlike("text", F.lit(_HAS_WORD)), F.lit(False))
+    keep = classes.where("keep").select(F.col("doc_id").alias(ident), F.col("tkey").alias(tkey + "k")).distinct()
+    rows = docs.where(has_word).withColumn(tkey, text_key()).join(keep, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(tkey) == F.col(tkey + "k")))
+    return rows.dropDuplicates(["doc_id", tkey]).select(*[F.col(f"`{c}`") for c in names]).unionByName(docs.where(~has_word))

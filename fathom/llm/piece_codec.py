@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, small_batches
+from .common import Recent, slices
 
 MARK = "▁"
 CACHE_ENTRIES = 200_000  # twice as many at most
@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [c.encode(t) for t in b["t"]]
             yield pd.DataFrame({doc_id: b["i"], "ids": ids, "decoded": [c.decode(x) for x in ids]})
 
@@ -291,13 +291,12 @@ def encode_digests(docs: DataFrame, model_file: str | None = None, text: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for b in batches:
-            found = [c.round_trip(t) for t in b["t"]]
-            yield pd.DataFrame({doc_id: b["i"], "n_tokens": [x[0] for x in found], "ids_sha256": [digest(x[1]) for x in found], "decoded_sha256": [digest(x[2]) for x in found]})
+        for b in slices(batches):
+            found = [(n, digest(ids), digest(decoded)) for n, ids, decoded in map(c.round_trip, b["t"])]
+            yield pd.DataFrame({doc_id: b["i"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
 
     return _narrow(docs, doc_id, text).mapInPandas(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -11,8 +11,9 @@ A document is kept when it passes the base rules and the lines left hold at leas
 its characters. Everything is a Column expression: one scan, no shuffle, no Python.
 
 Defined results: a null text has no words, 0 everywhere, and fails the base rules. Repeated rows give
-repeated results. Word windows are compared by their 64-bit hash within one text; work per text is
-n log n, so very long texts stay linear in memory.
+repeated results; lines that tie with an earlier one count as its duplicates. An empty table gives an empty result. Other columns are ignored,
+whatever their names; ``clean_lines`` lengthens its own names where they clash. Word windows are compared by their 64-bit hash within one text;
+no pattern goes back over what it has read, so work per text is n log n and memory linear, also for one line of any length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -30,13 +33,20 @@ KEEP_SHARE = 0.5
 # Fixed patterns of the line rules; they read alike in Java's and RE2's syntax.
 ENDS_WELL = r"""[.!?:;…。！？"'”’»)\]][ \t\r]*$"""
 LONG_LINE = rf"([^ ]+ +){{{SHORT_WORDS}}}[^ ]"
+#: The same for an engine that backtracks: anchored, and nothing taken is given back.
+LONG_LINE_ONCE = rf"^ *+(?:[^ ]++ ++){{{SHORT_WORDS}}}[^ ]"
 HAS_LETTER = r"\p{L}"
 HUNG_SYMBOLS = r"[#*$%&|<>]{3}"
 CELL_BARS = r"[|»›•·>]"
 MANY_SYMBOLS = 3
 MANY_BARS = 3
 CELL_CHARS = 40
-BOILERPLATE = r"(?i)(accept (all )?cookies|uses? cookies|cookie policy|enable javascript|terms of (use|service)|privacy policy|sign (in|up)|log ?in|subscribe|newsletter|share (this|on)|click here|read more|skip to|back to top|copyright ©|all rights reserved)"
+BOILERPLATE = (
+    r"(?i)(accept (all )?cookies|uses? cookies|cookie policy|enable javascript|terms of (use|service)|privacy policy|sign (in|up)|log ?in|subscribe|newsletter|share (this|on)|click here|read more|skip to|back to top|copyright ©|all rights reserved"
+    r"|cookies (akzeptieren|zulassen)|verwendet cookies|datenschutz(erklärung)?|nutzungsbedingungen|impressum|anmelden|abonnieren|mehr lesen|weiterlesen|nach oben|alle rechte vorbehalten"
+    r"|accepter les cookies|utilise des cookies|politique de confidentialité|mentions légales|se connecter|s'abonner|lire la suite|cliquez ici|haut de page|tous droits réservés"
+    r"|aceptar (las )?cookies|utiliza cookies|política de privacidad|aviso legal|iniciar sesión|suscríbete|leer más|haga clic|volver arriba|todos los derechos reservados)"
+)
 BOILERPLATE_CHARS = 160
 
 _WINDOWS = f"CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) ELSE CAST(array() AS array<bigint>) END"
@@ -51,19 +61,19 @@ def line_passes(line: Column) -> Column:
     hit = lambda pattern: F.rlike(line, F.lit(pattern))
     bars = F.length(line) - F.length(F.regexp_replace(line, CELL_BARS, ""))
     hung = F.length(line) - F.length(F.regexp_replace(line, HUNG_SYMBOLS, ""))
-    return (hit(ENDS_WELL) | hit(LONG_LINE)) & hit(HAS_LETTER) & (hung < 3 * MANY_SYMBOLS) & ~((bars >= MANY_BARS) & (F.length(line) <= CELL_CHARS * (bars + 1))) & ~((F.length(line) <= BOILERPLATE_CHARS) & hit(BOILERPLATE))
+    return (hit(ENDS_WELL) | hit(LONG_LINE_ONCE)) & hit(HAS_LETTER) & (hung < 3 * MANY_SYMBOLS) & ~((bars >= MANY_BARS) & (F.length(line) <= CELL_CHARS * (bars + 1))) & ~((F.length(line) <= BOILERPLATE_CHARS) & hit(BOILERPLATE))
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean_text (lines that pass, joined) and clean_share (of the characters of lines with a word)."""
     taken = docs.columns
-    kept, share = _free("clean_text", taken), _free("clean_share", taken)
+    kept, share = fresh_name("clean_text", taken), fresh_name("clean_share", taken)
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(rf"[^{SPACE}]")))
-    at = docs.withColumn(_free("_l", taken), lines)
-    lc = F.col(_free("_l", taken))
+    at = docs.withColumn(fresh_name("_l", taken), lines)
+    lc = F.col(fresh_name("_l", taken))
     at = at.withColumn(kept, F.array_join(F.filter(lc, line_passes), "\n"))
     total = F.length(F.array_join(lc, "\n"))
-    return at.withColumn(share, F.when(total > 0, F.length(F.col(kept)) / total).otherwise(F.lit(0.0))).drop(_free("_l", taken))
+    return at.withColumn(share, F.when(total > 0, F.length(F.col(kept)) / total).otherwise(F.lit(0.0))).drop(fresh_name("_l", taken))
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -88,15 +98,10 @@ def quality_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.col("good_chars") >= KEEP_SHARE * F.col("all_chars"))).alias("kept"),
+        F.when(F.col("all_chars") > 0, F.round(F.col("good_chars") / F.col("all_chars"), 9)).otherwise(F.lit(0.0)).alias("clean_share"),
     )
 
 
-def _free(name: str, taken: list[str]) -> str:
-    from .common import fresh_name
-
-    return fresh_name(name, taken)
-
-
 def oracle() -> str:
     """DuckDB SQL for quality_verdicts of documents."""
     q = lambda s: s.replace("'", "''")
@@ -118,5 +123,6 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
   FROM a LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good_chars >= {KEEP_SHARE} * all_chars AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good_chars >= {KEEP_SHARE} * all_chars AS kept,
+  CASE WHEN all_chars > 0 THEN round(good_chars::DOUBLE / all_chars, 9) ELSE 0.0::DOUBLE END AS clean_share
 FROM m"""

@@ -7,12 +7,14 @@ is an anchor too. Words are runs of letters and digits, ASCII lower-cased. Liken
 Jaccard similarity of the sets; the comparison is pruned by length: sets whose sizes differ by more
 than the threshold allows are not compared (``similar_pairs``).
 
-The query's edited text takes its last third from the next document; documents meet their successor by a
-range partition on the id with the first document of each range copied to the range before it: one
-shuffle of the texts, no window over them.
+The query's edited text takes its last third from the next document; documents meet their successor by parts that hold a run of ids each
+(cut at quantiles of a bounded sample of ids), with the first document of each part copied to the part before it: one
+shuffle of the texts, no window over them. The query compares fixed neighbours; the pruned comparison of all fingerprints is ``similar_pairs``.
 
 Defined results: null and empty texts have the fingerprint of the empty word list and are alike with
-likeness 1; equal texts have equal fingerprints; rows with equal ids follow each other in order of their text; a table of one row is its own successor.
+likeness 1; equal texts have equal fingerprints; rows with equal ids, and those without one, which come last, follow each other in order of their
+text's md5; a table of one row is its own successor, an empty table gives an empty result. Ids may be of any type that sorts. Very long texts
+cost in proportion to their length. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Tables, skewed_join, slices
 from .words import ascii_lower, byte_class, mix, word_hashes
 
 CHAIN = 2
 SPOT = 2
 BITS = 40
-RANGES = 64
-PART_ROWS = 20_000
+PART_ROWS = 2000
+MOST_PARTS = 1 << 13
+IDS_PER_PART = 40  # of the sample that parts are cut by
+NULL_PARTS = 16
 FEW = 8
 ROWS_AT_ONCE = 256
 
@@ -105,75 +109,86 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id and fingerprint of every row; map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"doc_id": b["i"], "fingerprint": [write(s) for s in signature_sets(b["t"].tolist())]})
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint string")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of different fingerprints (a < b) with likeness at least the threshold, and the likeness.
+    """Pairs of different fingerprints with likeness at least the threshold: a and b, the least ids that have them (a <= b, null last), and the likeness.
 
     Fingerprints are grouped first, so copies count once. Sets are cut into length ranges such that two sets above
     the threshold lie in the same or neighbouring ranges; within them, pairs meet on the signatures of a prefix of
     each set in order of rarity, long enough that any pair above the threshold shares one, and are then compared in full.
     """
-    prints = cut(fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    tables = Tables(docs.sparkSession)
+    prints = fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    prints = tables.cut(prints.withColumn("f", F.monotonically_increasing_id()))
     wide = BITS // 4
-    sigs = prints.select("doc_id", F.expr(f"transform(sequence(1, length(split_part(fingerprint, chr(58), 2)), {wide}), i -> substring(split_part(fingerprint, chr(58), 2), i, {wide}))").alias("s")).withColumn("n", F.size("s"))
-    long = sigs.select("doc_id", "n", F.explode("s").alias("sig"))
-    rarity = long.groupBy("sig").agg(F.count("*").alias("df"))
-    ordered = long.join(rarity, "sig").where("df > 1")
-    prefix = ordered.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("o"), F.count("*").alias("shared"))
+    sigs = prints.select("f", "doc_id", F.expr(f"transform(sequence(1, length(split_part(fingerprint, chr(58), 2)), {wide}), i -> substring(split_part(fingerprint, chr(58), 2), i, {wide}))").alias("s")).withColumn("n", F.size("s"))
+    long = sigs.select("f", "n", F.explode("s").alias("sig"))
+    rarity = tables.cut(long.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1").withColumn("times", F.col("df")))
+    ordered = skewed_join(long, rarity, ["sig"], "times")
+    prefix = ordered.groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("o"), F.count("*").alias("shared"))
     # with n - shared signatures that no other set holds, the prefix runs n - ceil(threshold * n) + 1 over all of them, unshared first
     take = F.expr(f"n - cast(ceil({threshold} * n) as int) + 1 - (n - cast(shared as int))")
-    keys = prefix.withColumn("take", take).where("take > 0").select("doc_id", "n", F.explode(F.expr("slice(o, 1, least(take, size(o)))")).alias("k")).select("doc_id", "n", F.col("k.sig").alias("sig"))
+    keys = prefix.withColumn("take", take).where("take > 0").select("f", "n", F.explode(F.expr("slice(o, 1, least(take, size(o)))")).alias("k")).select("f", "n", F.col("k.sig").alias("sig"))
     base = 1 / threshold
     part = F.floor(F.log("n") / F.log(F.lit(base))).cast("int")
-    left = keys.withColumn("part", part)
-    right = left.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    close = left.join(right, ["sig", "part"]).where((F.col("doc_id") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
-    pairs = close.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    s = sigs.select("doc_id", "s")
-    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.withColumn("likeness", F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    left = tables.cut(keys.withColumn("part", part))
+    right = left.select(F.col("f").alias("other"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    close = left.join(right, ["sig", "part"]).where((F.col("f") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    pairs = close.select(F.least("f", "other").alias("a"), F.greatest("f", "other").alias("b")).distinct()
+    both = pairs.join(sigs.select(F.col("f").alias("a"), F.col("s").alias("sa"), F.col("doc_id").alias("da")), "a").join(sigs.select(F.col("f").alias("b"), F.col("s").alias("sb"), F.col("doc_id").alias("db")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("likeness", F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).where(F.col("likeness") >= threshold)
+    turned = F.col("da").isNull() | (F.col("db").isNotNull() & (F.col("db") < F.col("da")))
+    return both.select(F.when(turned, F.col("db")).otherwise(F.col("da")).alias("a"), F.when(turned, F.col("da")).otherwise(F.col("db")).alias("b"), "likeness")
+
+
+def _part(ids: DataFrame, count: int) -> Column:
+    """The part of each doc_id, growing with it from NULL_PARTS on; those below are of rows without an id, by the first digit of the text's md5.
+
+    Parts are cut at quantiles of a sample of different ids, bounded by MOST_PARTS * IDS_PER_PART, so they hold as many rows each; two levels of cuts keep the search short.
+    """
+    parts = max(1, min(MOST_PARTS, count // PART_ROWS))
+    share = min(1.0, parts * IDS_PER_PART / max(1, count))
+    drawn = ids.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id").distinct().limit(2 * parts * IDS_PER_PART)
+    known = sorted(r[0] for r in drawn.collect())
+    cuts = sorted({known[k * len(known) // parts] for k in range(1, parts)}) if known else []
+    null = F.conv(F.substring("tie", 1, 1), 16, 10).cast("int")
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), null).otherwise(F.lit(NULL_PARTS))
+    kind, wide = ids.schema["doc_id"].dataType, max(1, int(len(cuts) ** 0.5))
+    rows = [cuts[k : k + wide] for k in range(0, len(cuts), wide)]
+    lit = lambda v: F.lit(v).cast(kind)
+    row = F.size(F.filter(F.array(*[lit(r[0]) for r in rows[1:]]), lambda e: e <= F.col("doc_id"))) if len(rows) > 1 else F.lit(0)
+    cells = F.element_at(F.array(*[F.array(*[lit(v) for v in r]) for r in rows]), row + 1)
+    return F.when(F.col("doc_id").isNull(), null).otherwise(NULL_PARTS + row * wide + F.size(F.filter(cells, lambda e: e <= F.col("doc_id")))).cast("int")
 
 
 def with_successor(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, part, last of docs such that each part holds a run of ids and, marked last, the document after it; the number of parts."""
-    rows = docs.select("doc_id", "text")
-    # RANGES - 1 quantiles on the driver; each range is dealt evenly by id into as many parts as the table's size asks for
-    cuts = sorted({int(c) for c in rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / RANGES for i in range(1, RANGES)], 0.002)})
-    most = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    fine = max(1, most["n"] // (RANGES * PART_ROWS))
-    if most["lo"] is None:
-        part = F.lit(0)
-    else:
-        edges = [most["lo"] - 1, *[c for c in cuts if most["lo"] <= c < most["hi"]], most["hi"]]
-        coarse = F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:-1]]), lambda e: e < F.col("doc_id"))) if len(edges) > 2 else F.lit(0)
-        low, high = (F.element_at(F.array(*[F.lit(e) for e in es]), coarse + 1) for es in (edges[:-1], edges[1:]))
-        inside = F.least(F.lit(fine - 1), F.floor((F.col("doc_id") - low - 1) * fine / (high - low))).cast("long")
-        part = F.coalesce(coarse * fine + inside, F.lit(-1))  # null ids last, as they sort
-    ranged = rows.withColumn("part", part.cast("long"))
+    """doc_id, text, tie (md5 of the text), part, last of docs such that each part holds a run of ids and, marked last, the document after it; the number of parts."""
+    rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    count = rows.count()
+    ranged = rows.withColumn("part", _part(rows, count))
     # ids descend: the head of a part (its highest row) follows the end of the part above; the topmost head follows the lowest id
     order = Window.partitionBy(F.lit(0)).orderBy("part")
-    top = ranged.groupBy("part").agg(F.max("doc_id").alias("top"))
-    above = top.withColumn("above", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
-    key = F.struct(F.col("text").isNotNull(), F.col("text"))
-    heads = ranged.join(F.broadcast(above.withColumnRenamed("part", "p_")), (F.col("part") == F.col("p_")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("above").agg(F.max(key).alias("k"), F.max("doc_id").alias("doc_id"))
-    copies = heads.select("doc_id", F.col("k.text").alias("text"), F.col("above").alias("part"), F.lit(True).alias("last"))
-    return ranged.select("doc_id", "text", "part", F.lit(False).alias("last")).unionByName(copies), RANGES * fine
+    top = ranged.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("top"))  # MOST_PARTS + NULL_PARTS rows at most
+    above = top.select(F.col("part").alias("p_"), "top", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("above"))
+    heads = ranged.join(F.broadcast(above), (F.col("part") == F.col("p_")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("tie") == F.col("top.tie")))
+    heads = heads.groupBy("above").agg(F.first("text").alias("text"), F.first("tie").alias("tie"), F.first("doc_id").alias("doc_id"))
+    copies = heads.select("doc_id", "text", "tie", F.col("above").alias("part"), F.lit(True).alias("last"))
+    return ranged.withColumn("last", F.lit(False)).unionByName(copies), max(1, min(MOST_PARTS, count // PART_ROWS)) + NULL_PARTS
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
+    whole = kind in ("bigint", "int", "smallint", "tinyint")  # pandas reads them as floats where one is null
     rows, parts = with_successor(docs)
-    laid = rows.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+    # a part to a task
+    laid = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("part"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.col("tie").desc()).select("doc_id", "text", "part")
 
     def batch(ids: list, texts: list[str], nexts: list[str], own: list[np.ndarray]) -> pd.DataFrame:
         """own: signature sets of texts and, behind them, of the last text's successor."""
@@ -200,11 +215,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                 del ids[:-1], texts[:-1], sets[:-1]
 
         for b in batches:
-            for i, t, p, _ in zip(b["doc_id"], b["text"], b["part"], b["last"], strict=True):
+            for i, t, p in zip(b["doc_id"], b["text"], b["part"], strict=True):
                 if p != part:
                     yield from rest()
                     part, ids, texts, sets = p, [], [], []
-                ids.append(None if pd.isna(i) else int(i))
+                ids.append(None if pd.isna(i) else int(i) if whole else i)
                 texts.append(t or "")
                 if len(texts) > ROWS_AT_ONCE:
                     yield from rest()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import langid, licenses, linededup, mixing, neardup, pii, piece_codec, quality, spotsigs, toxicity
+from fathom.llm import common, components, langid, licenses, linededup, mixing, neardup, pii, piece_codec, quality, spotsigs, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASHES = ("n", "key", "size", "u", "rank", "seq", "node", "h", "t", "i", "row_", "kept_", "tkey_", "id_", "comp")
@@ -71,11 +71,26 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     plain, gapped, spaced, clean = (model.margins([toxicity.unit(w)])[0] for w in ("idiotka", "i-d-i-o-t-k-a", "idiiotka", "kalomi"))
     assert plain > 0 and gapped == plain and spaced > clean
+    prose = "kalo mi tre vanos ul pe ri losmi {} vantre osul pemi"
+    odd = ["idiotka", "idxiotka", "idxioxtka", "ixdxioxtka", "mornonul", "mxorxonul", "scuxmbago", "scuxmxbago", "id iot ka", "i d i o t k a"]
+    told = toxicity.Scorer(model).score([prose.format(w) for w in [*odd, "kalovan"]])
+    assert (told[:-1] >= 0.5).all() and told[-1] < 0.5, dict(zip(odd, told.round(2), strict=False))
+    worse = toxicity.Scorer(model).score([prose.format("idiotka"), prose.format("idiotka moronul")])
+    assert worse[1] >= worse[0]
     assert "idiotka" in toxicity.tokens("you i d i o t k a you")
     assert toxicity.toxic_sentences("kalo mi. you idiotka! lo", model)[0][:2] == (8, 21)
     assert toxicity.Scorer(model).score([rows[0][1]])[0] == pytest.approx(got[0].score)
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """Many texts of one id, labels that contradict, and one text many times."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.range(1000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, 500).collect()
+    assert len(got) <= 500 and all(r.toxic == (r.text != "same") for r in got) and len({r.text for r in got}) == len(got)
+
+
 def test_string_kernel_against_brute_force():
     def brute(a, b):
         from itertools import combinations
@@ -106,19 +121,34 @@ def test_toxicity_edges(spark, awkward, nothing):
 # --- 2 -------------------------------------------------------------------------------------------
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(max(old[j + 1], row[j], old[j] + 1 if x == y else 0))
+    return row[-1]
+
+
+def likeness_of_words(s, t):
+    a, b = (WORD.findall(x.lower()) for x in (s, t))
+    run = longest_common(a, b)
+    return run / (len(a) + len(b) - run)
+
+
 def test_neardup_against_brute_force(spark):
+    """Classes equal those of all pairs, aligned by a table of all prefixes."""
     rng = random.Random(11)
     texts = []
     for _ in range(25):
-        base = words(rng, rng.randint(20, 80)).split(" ")
+        base = words(rng, rng.randint(40, 90)).split(" ")
         for _ in range(rng.randint(1, 6)):
             t = list(base)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 5)):
                 t[rng.randrange(len(t))] = words(rng, 1)
             texts.append(" ".join(t))
     texts += ["a b", "a b", "a c", "", ""]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    seqs = neardup.labelled(texts)
     parent = list(range(len(texts)))
 
     def root(x):
@@ -128,67 +158,90 @@ def test_neardup_against_brute_force(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(seqs[i]) and (texts[i] == texts[j] or neardup.aligned(seqs[i], seqs[j]) > 0):
+            if texts[i] and (texts[i] == texts[j] or likeness_of_words(texts[i], texts[j]) >= 0.8):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert got == {i: root(i) for i in range(len(texts))}
 
 
-def test_neardup_blocks_and_alignment():
+def test_alignment_against_a_table(monkeypatch):
     rng = random.Random(1)
-    base = words(rng, 100).split(" ")
-    a, b, c = neardup.labelled([" ".join(base), " ".join(base[:97]), words(rng, 100)])
-    assert neardup.aligned(a, b) == pytest.approx(93 / 96) and neardup.aligned(a, c) == 0 and neardup.aligned(a, a) == 1
-    assert neardup.aligned(a, a[::-1]) == 0
-    rows = [{"node": i, "comp": i, "n": len(s), "sk": neardup.sketch(s), "seq": s.tobytes()} for i, s in enumerate((a, b, c))]
-    first = min(k for k in range(neardup.SKETCHES) if rows[0]["sk"][k] == rows[1]["sk"][k])
-    assert neardup._join_blocks(first, True, rows, rows, 0.8) == [(0, 1)]
-    assert neardup._join_blocks(first + 1, True, rows, rows, 0.8) == []
-    repeated = neardup.labelled(["x y z u v " * 4])[0]
-    assert len(set(repeated.tolist())) == len(repeated) == 16
-
-
-def test_neardup_large_mixed_bucket(spark, monkeypatch):
-    """A chain of near copies whose ends differ, in buckets far larger than a block."""
-    monkeypatch.setattr(neardup, "FEW", 4)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "BLOCK_WINDOWS", 1000)
+    for block in (4096, 3, 7):
+        monkeypatch.setattr(neardup, "ALIGN_BLOCK", block)
+        for _ in range(150):
+            a, b = ([rng.randrange(6) for _ in range(rng.randint(1, 40))] for _ in range(2))
+            band = rng.randint(0, 45)
+            row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    row[i + 1][j + 1] = max(row[i][j + 1], row[i + 1][j], row[i][j] + 1 if x == y and abs(i - j) <= band else 0)
+            assert neardup.aligned(np.array(a, np.uint32), np.array(b, np.uint32), band) == row[-1][-1]
+
+
+def test_one_word_in_ten_is_a_link():
+    rng = random.Random(2)
+    base = words(rng, 200).split(" ")
+    near = [words(rng, 1) if i % 10 == 0 else w for i, w in enumerate(base)]
+    far = [words(rng, 1) if i % 8 == 0 else w for i, w in enumerate(base)]
+    (a, b, c), _ = neardup.labelled([" ".join(x) for x in (base, near, far)])
+    assert neardup.similarity(a, b) >= 0.8 and neardup.similarity(a, c) == 0 and neardup.similarity(a, a[::-1]) == 0
+
+
+def test_neardup_recall_of_planted_copies(spark):
+    """Copies with words replaced, dropped and put in, up to the threshold: nearly all join their original."""
+    rng, rows, pairs = random.Random(7), [], []
+    for k in range(150):
+        base = words(rng, rng.randint(60, 300)).split(" ")
+        t = list(base)
+        for _ in range(int(len(base) * rng.uniform(0.02, 0.095))):
+            at = rng.randrange(len(t))
+            what = rng.random()
+            if what < 0.7:
+                t[at] = words(rng, 1)
+            elif what < 0.85:
+                del t[at]
+            else:
+                t.insert(at, words(rng, 1))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(t))]
+        if likeness_of_words(rows[-1][1], rows[-2][1]) >= 0.8:
+            pairs.append(2 * k)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and np.mean([got[i] == got[i + 1] for i in pairs]) >= 0.97
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_neardup_shared_passage_and_chain(spark):
+    """Texts that share a passage with hundreds of others stay apart; two of them that are alike, and a chain, are joined."""
     rng = random.Random(3)
-    now, texts = words(rng, 120).split(" "), []
+    passage = words(rng, 60)
+    texts = [passage + " " + words(rng, 50) for _ in range(120)]
+    twin = texts[17].split(" ")
+    twin[70] = "other"
+    texts.append(" ".join(twin))
+    now = words(rng, 120).split(" ")
     for _ in range(40):
         now = list(now)
         now[rng.randrange(len(now))] = words(rng, 1)
         texts.append(" ".join(now))
-    rng.shuffle(texts)
-    got = neardup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0}
-
-
-@pytest.mark.parametrize("few", [32, 2])
-def test_neardup_pairs_with_few_agreements(spark, monkeypatch, few):
-    """Pairs at the threshold that agree in one or two sketches, each with a third text in the same buckets that joins neither."""
-    monkeypatch.setattr(neardup, "FEW", few)
-    rng = np.random.default_rng(8)
-    texts, pairs = [], []
-    while len(pairs) < 20:
-        base = [str(k) for k in rng.integers(0, 10**9, 13)]
-        three = [" ".join(base[:8]), " ".join(base[:9]), " ".join(base[:8] + base[9:])]
-        seqs = neardup.labelled(three)
-        a, b, c = (neardup.sketch(s) for s in seqs)
-        if 1 <= (a == b).sum() <= 2 and (c[a == b] == a[a == b]).all() and neardup.aligned(seqs[0], seqs[1]) > 0 and not neardup.aligned(seqs[0], seqs[2]) and not neardup.aligned(seqs[1], seqs[2]):
-            pairs.append((len(texts), len(texts) + 1))
-            texts += three
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all(got[u] == got[v] != got[v + 1] for u, v in pairs)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    got = {order[r.doc_id]: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")).collect()}
+    assert got[17] == got[120] and len({got[i] for i in range(120)}) == 120 and len({got[i] for i in range(121, 161)}) == 1
 
 
-def test_bins_bound_the_differing_windows():
-    rng = np.random.default_rng(9)
-    a = rng.integers(0, 2**63, 300).astype(np.uint64)
-    for k in (0, 30, 300):
-        b = np.concatenate([a[k:], rng.integers(0, 2**63, k).astype(np.uint64)])
-        for n in (neardup.BINS, neardup.BLOCK_BINS):
-            assert np.abs(neardup.bins(a, n).astype(int) - neardup.bins(b, n)).sum() <= len(np.setxor1d(a, b))
+def test_prefix_filter_loses_nothing(spark):
+    rng, rows = random.Random(5), []
+    for k in range(30):
+        base = words(rng, 30).split(" ")
+        for v in range(3):
+            t = list(base)
+            for _ in range(v):
+                t[rng.randrange(len(t))] = words(rng, 1)
+            rows.append((3 * k + v, 3 * k + v, len(t), bytearray(neardup.labelled([" ".join(t)])[0][0].tobytes())))
+    df = spark.createDataFrame(rows, "node long, comp long, n long, seq binary")
+    met = {(r.u, r.v) for r in neardup._prefix_pairs(df, 0.8, common.Tables(spark)).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and neardup.similarity(np.frombuffer(a[3], np.uint32), np.frombuffer(b[3], np.uint32)) > 0}
+    assert want and want <= met
 
 
 def test_neardup_edges(awkward, nothing):
@@ -199,6 +252,20 @@ def test_neardup_edges(awkward, nothing):
     assert neardup.near_duplicate_classes(nothing).count() == 0 and neardup.dedup_documents(nothing).count() == 0
 
 
+def test_components_of_a_star_and_a_path(spark):
+    edges = [(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(40)] + [(5, 5)]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 200)}, **{301 + i: 300 for i in range(40)}}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_skewed_join(spark):
+    big = spark.createDataFrame([(i % 3 if i < 300 else i, i) for i in range(400)], "k long, x long")
+    side = common.Tables(spark).cut(big.groupBy("k").count().withColumnRenamed("count", "n").withColumn("y", F.col("k") * 2).where("k != 350"))
+    got = common.skewed_join(big, side, ["k"])
+    assert sorted(got.columns) == ["k", "x", "y"] and sorted(tuple(r) for r in got.select("k", "x", "y").collect()) == sorted((i % 3 if i < 300 else i, i, 2 * (i % 3 if i < 300 else i)) for i in range(400) if i != 350)
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -241,6 +308,15 @@ def test_lines_edges(spark, awkward, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_line_runs_and_other_ids(spark):
+    rows = [("a", "x one two three\nfour five six\nseven eight nine\nown"), ("b", "own b\nx one two three\nfour five six\nseven eight nine"), (None, "z"), ("c", "four five six\nseven eight nine ten")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = [(r.doc_id, r.lines, r.first_doc_id, r.first_line) for r in linededup.repeated_runs(df).collect()]
+    assert got == [("b", [1, 2, 3], "a", 0)]
+    ends = spark.createDataFrame([(2**63 - 1, rows[0][1]), (None, rows[0][1])], "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in linededup.line_digests(ends).collect()} == {(2**63 - 1, 0), (None, 4)}
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
@@ -415,7 +491,7 @@ def test_language(spark, awkward, nothing):
     odd = langid.predict_languages(awkward, model).collect()
     assert len(odd) == 12 and all(r.lang_pred == "und" and r.score == 0 for r in odd if r.doc_id in (2, 3, 4, 9))
     kept = langid.keep_identified(awkward, model)
-    assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, None, 5, 6, 7, 7, 8, 8]))
+    assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, None, 5, 6, 7, 7, 8]))  # two words that no language is near, labelled otherwise, go
     assert kept.where("doc_id IS NULL").first().lang in tongues
     assert langid.train(nothing).languages == [] and langid.keep_identified(nothing, langid.train(nothing)).count() == 0
     one = langid.fit(np.ones((2, langid.DIMENSIONS), np.float32), ["xx", "xx"])
@@ -531,3 +607,36 @@ def test_pair_rule_against_merging():
         a, b = (rng.choice(ids if k % 2 else short) for _ in range(2))
         if a in c.regular and b in c.regular:
             assert c._stay_apart(a, b) == (c.merge(a + b) == [a, b]), (a, b)
+
+
+def test_quality_of_one_long_line(spark):
+    """A line without a blank, and one of many short words, of 1 MB each: linear work."""
+    import time
+
+    df = spark.createDataFrame([(1, "x" * 1_000_000), (2, "ab " * 333_000), (3, " " * 500_000 + "a b c d e")], "doc_id long, text string")
+    quality.quality_verdicts(df.limit(1)).collect()
+    began = time.time()
+    row = df.select(*[quality.line_passes(F.col("text")).alias("ok")]).collect()
+    assert time.time() - began < 5 and [r.ok for r in row] == [False, True, True]
+    short = spark.createDataFrame([("  a b c d e",), ("a b c d",), ("a  b  c  d  e",), (" a b c d ",)], "text string")
+    assert [r[0] for r in short.select(F.rlike("text", F.lit(quality.LONG_LINE_ONCE)) == F.rlike("text", F.lit(quality.LONG_LINE))).collect()] == [True] * 4
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    """Many rows of one id, labels that contradict, one row many times, and many languages."""
+    one = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("words of row "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    same = spark.range(3000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    got = Counter(r.lang for r in langid.sample(one.unionByName(same), 300).collect())
+    assert got == {"de": 300, "en": 300}
+    assert langid.sample(one.unionByName(same), 300, 100).count() == 100
+    assert langid.sample(same).count() <= 1
+
+
+def test_codewords_without_a_good_random_code(monkeypatch):
+    class Ones:
+        def choice(self, values, size):
+            return np.ones(size, dtype=int)
+
+    monkeypatch.setattr(np.random, "default_rng", lambda seed=None: Ones())
+    c = langid.codewords(8)
+    assert c.shape == (8, 8) and len({tuple(r) for r in c}) == 8
