@@ -23,8 +23,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(documents(spark, sf_dir))
 
 
+#: The key of the driver's invented tables; a corpus of real persons has a secret one, given by spark.fathom.pii.key.
+TABLES_KEY = "invented tables"
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(documents(spark, sf_dir))
+    return pii.pseudonymize(documents(spark, sf_dir), spark.conf.get("spark.fathom.pii.key", TABLES_KEY))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     worse = toxicity.Scorer(model).score([prose.format("idiotka"), prose.format("idiotka moronul")])
     assert worse[1] >= worse[0]
     assert "idiotka" in toxicity.tokens("you i d i o t k a you")
-    assert toxicity.toxic_sentences("kalo mi. you idiotka! lo", model)[0][:2] == (8, 21)
+    assert max(toxicity.toxic_sentences("kalo mi. you idiotka! lo", model), key=lambda x: x[2])[:2] == (8, 21)
     assert toxicity.Scorer(model).score([rows[0][1]])[0] == pytest.approx(got[0].score)
 
 
@@ -327,7 +327,7 @@ def luhn(d):
 def test_pseudonyms(spark, awkward, nothing):
     texts = ["a.b@c.org x A.B@C.ORG", "+1 (017) 555-7713, 555-123-4567", "97.51.17.173 but 999.1.1.1", "4845168114407329 4845-1681-1440-7329 4845168114407320", "token = \"" + "0A" * 20 + "\"", "123-45-6789 2024-02-29 31.12.1999 29/02/2023", "DE89370400440532013000", "plain 2024 text"]
     rows = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
-    assert [rows[i].n_found for i in range(8)] == [2, 2, 1, 3, 1, 4, 1, 0] and rows[7].text == texts[7]
+    assert [rows[i].n_found for i in range(8)] == [2, 2, 1, 3, 1, 3, 1, 0] and rows[7].text == texts[7]
     one, _, two = rows[0].text.split(" ")
     assert one == two and "@" in one
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}, \d{3}-\d{3}-\d{4}", rows[1].text)
@@ -340,9 +340,69 @@ def test_pseudonyms(spark, awkward, nothing):
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4} \d{4}-\d{2}-\d{2} \d{2}\.\d{2}\.\d{4} 29/02/2023", rows[5].text)
     i = rows[6].text
     assert int(i[4:] + "1314" + i[2:4]) % 97 == 1
-    got = pii.pseudonymize(awkward).collect()
+    got = pii.pseudonymize(awkward, "key").collect()
     assert len(got) == 12 and all(r.n_found == 0 for r in got) and [r.text for r in got if r.doc_id == 2] == [None]
-    assert pii.pseudonymize(nothing).count() == 0
+    assert pii.pseudonymize(nothing, "key").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymize(nothing, "")
+
+
+def pseudonyms(spark, values, key="key"):
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), key).collect()}
+    return [got[i] for i in range(len(values))]
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    """All dates of 200 years, and thousands of numbers of each class: no two share a pseudonym, none leaves its class."""
+    import datetime as dt
+
+    days = [dt.date(1900, 1, 1) + dt.timedelta(d) for d in range(73049)]
+    iso = pseudonyms(spark, [d.isoformat() for d in days])
+    assert set(iso) == {d.isoformat() for d in days}
+    same = pseudonyms(spark, [d.strftime("%d.%m.%Y") for d in days[:2000]])
+    assert [dt.datetime.strptime(x, "%d.%m.%Y").date().isoformat() for x in same] == iso[:2000]
+    late = [d for d in days if d.day > 12]
+    turned = pseudonyms(spark, [d.strftime("%m/%d/%Y") for d in late])
+    assert set(turned) == {d.strftime("%m/%d/%Y") for d in late}
+    rng = random.Random(4)
+    cards = list({f"{rng.randrange(10**13):013d}" for _ in range(6000)})
+    made = pseudonyms(spark, cards)
+    assert len(set(made)) == len(cards) and [luhn(x) for x in made] == [luhn(x) for x in cards]
+    phones = list({f"{rng.randint(2, 9)}{rng.randrange(10**9):09d}" for _ in range(3000)})
+    made = pseudonyms(spark, phones)
+    assert len(set(made)) == len(phones) and all(x[0] >= "2" for x in made)
+    assert pseudonyms(spark, [f"{x[:3]}-{x[3:6]}-{x[6:]}" for x in phones[:200]]) == [f"{x[:3]}-{x[3:6]}-{x[6:]}" for x in made[:200]]
+
+
+def test_pseudonyms_against_a_second_writing(spark):
+    """Numbers that fail the Luhn test, by the network outside SQL, walking until a number fails it again."""
+    rng = random.Random(6)
+    values = [v for v in (f"{rng.randrange(10**16):016d}" for _ in range(200)) if not luhn(v)]
+
+    def step(v):
+        left, right = pii.permute("number", "key", 10**8, 10**8, int(v[:8]), int(v[8:]))
+        return f"{left:08d}{right:08d}"
+
+    def walk(v):
+        v = step(v)
+        while luhn(v):
+            v = step(v)
+        return v
+
+    assert pseudonyms(spark, values) == [walk(v) for v in values]
+
+
+def test_pseudonyms_of_more_formats(spark):
+    def remainder(v):
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+    texts = ["GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "12/25/1990", "+44 20 7946 0958", "5551234567", "2001:db8::1", "2001:DB8:0:0:8:800:200C:417A", "AB12 WORD WORDS LOUD", "31.02.2020", "std::vector a::b", "DE11370400440532013000"]
+    got = pseudonyms(spark, texts)
+    assert all(g != t for g, t in zip(got[:8], texts, strict=False)) and got[8:11] == texts[8:11] and got[11] != texts[11]
+    assert re.fullmatch(r"GB\d{2}[A-Z]{4}\d{14}", got[0]) and remainder(got[0]) == 1 and got[1].replace(" ", "") == got[0] and remainder(got[2]) == 1 and remainder(got[11]) != 1
+    assert re.fullmatch(r"\+44 \d{2} \d{4} \d{4}", got[4]) and re.fullmatch(r"[2-9]\d{9}", got[5])
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]", got[6]) and re.fullmatch(r"[0-9A-F]{4}:[0-9A-F]{3}:[0-9A-F]:[0-9A-F]:[0-9A-F]:[0-9A-F]{3}:[0-9A-F]{4}:[0-9A-F]{4}", got[7])
+    assert pseudonyms(spark, texts[:8], "other key") != got[:8]
 
 
 def test_feistel_is_a_permutation():
