@@ -95,22 +95,28 @@ class Tables:
                 self.made[path] = None
 
 
-#: A key is heavy if it holds more than this share of the rows, so there are at most 1000 heavy keys.
-HEAVY_SHARE = 0.001
-HEAVY_LEAST = 8
+#: Heavy keys are those that most rows hold, so many of them at most, and more than HEAVY_LEAST rows each. Any other key holds less than a thousandth of the rows.
+HEAVY_KEYS = 1000
+HEAVY_LEAST = 64
+
+
+def heavy(side: DataFrame, n: str = "n") -> list:
+    """The rows of side, which has a row a key, of the heavy keys by column n."""
+    return side.where(F.col(n) > HEAVY_LEAST).orderBy(F.desc(n)).limit(HEAVY_KEYS).collect()  # a thousand at most
 
 
 def skewed_join(big: DataFrame, side: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Inner join of big with side, unique in keys and written already, whose column n counts big's rows by key.
 
-    Rows of heavy keys, a thousand at most, meet side by broadcast where they lie, so that no key fills one task; the rest is shuffled.
+    Rows of heavy keys meet side by broadcast where they lie, so that no key fills one task; the rest is shuffled.
     side's rows have to be small. n isn't passed on.
     """
-    total = side.agg(F.sum(n)).first()[0] or 0
-    least = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
-    heavy = side.where(F.col(n) > least).drop(n)
-    rare = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= least).drop(n), keys)
-    return rare.unionByName(big.join(F.broadcast(heavy), keys))
+    found = heavy(side, n)
+    if not found:
+        return big.join(side.drop(n), keys)
+    some = F.broadcast(side.sparkSession.createDataFrame(found, side.schema).drop(n))
+    rare = big.join(F.broadcast(some.select(*keys)), keys, "left_anti").join(side.drop(n), keys)
+    return rare.unionByName(big.join(some, keys))
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:

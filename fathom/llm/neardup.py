@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh_name, skewed_join, slices, text_key
+from .common import HEAVY_LEAST, Tables, fresh_name, heavy, skewed_join, slices, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
@@ -182,13 +182,16 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(run, "tkey binary, n long, sk array<bigint>, seq binary")
 
 
-def _with_sequence(pairs: DataFrame, nodes: DataFrame, end: str, name: str, total: int) -> DataFrame:
+def _with_sequence(pairs: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:
     """pairs with the sequence of one end; a node in many pairs is handed out in several copies, each for a part of them."""
-    share = max(64, total // 1000)
-    often = F.broadcast(pairs.groupBy(end).agg(F.count("*").alias("k")).where(F.col("k") > share).select(F.col(end).alias("node"), F.ceil(F.col("k") / share).cast("int").alias("parts")))  # a thousand at most
+    often = heavy(pairs.groupBy(end).agg(F.count("*").alias("n")))
+    seqs = nodes.select(F.col("node").alias(end), F.col("seq").alias(name))
+    if not often:
+        return pairs.join(seqs, end)
+    parts = F.broadcast(pairs.sparkSession.createDataFrame([(r[end], -(-r["n"] // HEAVY_LEAST)) for r in often], f"{end} long, parts int"))
     other = "u" if end == "v" else "v"
-    left = pairs.join(often.withColumnRenamed("node", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = nodes.select("node", "seq").join(often, "node", "left").select(F.col("node").alias(end), F.col("seq").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    left = pairs.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = seqs.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(right, [end, "part"]).drop("part")
 
 
@@ -201,8 +204,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tabl
             yield b.loc[ok, ["u", "v"]]
 
     pairs = tables.cut(pairs)
-    total = pairs.count()
-    both = _with_sequence(_with_sequence(pairs, nodes, "u", "x", total), nodes, "v", "y", total)
+    both = _with_sequence(pairs, nodes, "v", "y")
+    # the other end is a leader too in few pairs only
+    both = both.join(nodes.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u")
     out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"))
     tables.drop(pairs)
     return out
@@ -257,7 +261,6 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None =
     buckets = nodes.select("node", F.explode("sk").alias("h"))
     lead = tables.cut(buckets.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("times")).where("times > 1"))
     members = tables.cut(skewed_join(buckets, lead, ["h"], "times"))
-    sizes = lead.select("h", "times")
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     linked = _verified(pairs, nodes, threshold, tables)
     parts = components(linked, tables)
