@@ -57,6 +57,7 @@ class ExpansionConfig:
     cap: int = 2
 
 
+# Names of the features, in order.
 FEATURES = ("bm25_score", "query_len", "query_uniq_len", "title_len", "body_len", "title_overlap_cnt", "body_overlap_cnt", "body_overlap_ratio", "idf_body_overlap_sum", "idf_title_overlap_sum")
 
 
@@ -73,4 +74,12 @@ class LtrConfig:
     learning_rate: float = 1e-3
     schedule: str = "cosine"
     temperature: float = 0.1
+    #: training: lists at most, share left out for validation, dropout after dense layers, decay of the schedules
+    max_lists: int = 20_000
+    validation: float = 0.1
+    dropout: float = 0.0
+    decay_steps: int = 0
+    decay_rate: float = 0.96
+    alpha: float = 0.0
+    best_by: str = "ndcg_10"
     features: tuple[str, ...] = FEATURES

@@ -60,7 +60,7 @@ class Engine:
         return self.search(self.spark.createDataFrame([(0, query)], "qid long, query string"), mode, k)
 
     def boolean(self, query: str, k: int | None = None) -> tuple[DataFrame, int, str]:
-        return search_boolean(self.spark, query, self.index, self.cfg, k)
+        return search_boolean(self.spark, query, self.index, self.cfg, k, expander=self.expander)
 
     def show(self, ranked: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("title", "body"), chunker: ChunkerConfig = ChunkerConfig()) -> DataFrame:
         """ranked with the corpus columns and a snippet of the body for each query."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from .score import DIGITS, search
 
 
 def split_queries(qids: DataFrame, seed: int = 42, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """qid, split of the distinct qids, shuffled by a hash of seed and qid: exact sizes, the rest goes to test.
+    """qid, split of the distinct qids, in order of the md5 of seed and qid: exact sizes, the rest goes to test.
 
     The places come from counts by hash range, so that no task sorts all qids.
     """
@@ -24,7 +23,7 @@ def split_queries(qids: DataFrame, seed: int = 42, fractions: tuple[float, float
         raise ValueError("fractions have to be positive and sum to 1")
     from pyspark.sql import Window
 
-    at = qids.select("qid").where("qid IS NOT NULL").distinct().withColumn("h", F.xxhash64(F.lit(seed), "qid")).withColumn("g", F.shiftright("h", 52))
+    at = qids.select("qid").where("qid IS NOT NULL").distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "qid"))).withColumn("g", F.substring("h", 1, 3))
     total = at.count()
     if not total:
         raise ValueError("no qid to split")
@@ -79,55 +78,66 @@ def hard_pool(cands: DataFrame, qrels: DataFrame, size: int = 50) -> DataFrame:
     return negative.withColumn("pool_rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("pool_rank") <= size)
 
 
+def draw(seed: int, *what: Column | str) -> Column:
+    """A number below 2^32 from the md5 of a seed and what is drawn for."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *what)), 1, 8), 16, 10).cast("long")
+
+
+def _pools(cands: DataFrame, qrels: DataFrame, cfg: LtrConfig) -> DataFrame:
+    """qid, pos and pool (arrays of docid and bm25) of queries: relevant candidates by docid, and the hard pool by rank. A query's candidates are at most topn."""
+    of = labelled(cands, qrels).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "docid", "bm25", "label"))).alias("c"))
+    pos = F.expr("array_sort(transform(filter(c, x -> x.label = 1), x -> struct(x.docid AS docid, x.bm25 AS bm25)))")
+    return of.select("qid", pos.alias("pos"), F.expr(f"slice(transform(filter(c, x -> x.label = 0), x -> struct(x.docid AS docid, x.bm25 AS bm25)), 1, {cfg.hard_pool})").alias("pool"))
+
+
 def pair_samples(cands: DataFrame, qrels: DataFrame, neg_per_pos: int = 4, cfg: LtrConfig = LtrConfig()) -> DataFrame:
     """qid, pos_docid, neg_docid, pos_bm25, neg_bm25: negatives drawn with replacement from the hard pool of each query.
 
-    The generator is seeded by (seed * 1000003) xor qid; positives are taken in order of their id. Lists are at most the
-    candidates of one query.
+    The draw is by md5 of seed, qid, positive and number, so reruns agree however rows are dealt out.
     """
-    seed, pool_size = cfg.seed, cfg.hard_pool
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        qid = int(pdf["qid"].iloc[0])
-        rng = random.Random((seed * 1000003) ^ qid)
-        pdf = pdf.sort_values("rank")
-        pos = pdf[pdf["label"] == 1].sort_values("docid")
-        pool = pdf[pdf["label"] == 0].head(pool_size)
-        out = []
-        if len(pool):
-            negatives = list(zip(pool["docid"], pool["bm25"], strict=True))
-            for p, s in zip(pos["docid"], pos["bm25"], strict=True):
-                out += [(qid, p, n[0], s, n[1]) for n in (rng.choice(negatives) for _ in range(neg_per_pos))]
-        return pd.DataFrame(out, columns=["qid", "pos_docid", "neg_docid", "pos_bm25", "neg_bm25"])
-
-    kind = cands.schema["docid"].dataType.simpleString()
-    return labelled(cands, qrels).groupBy("qid").applyInPandas(sample, f"qid long, pos_docid {kind}, neg_docid {kind}, pos_bm25 double, neg_bm25 double")
+    at = _pools(cands, qrels, cfg).where(F.size("pool") > 0).select("qid", "pool", F.explode("pos").alias("p")).select("qid", "pool", "p", F.explode(F.sequence(F.lit(1), F.lit(neg_per_pos))).alias("k"))
+    one = F.get("pool", F.pmod(draw(cfg.seed, "qid", "p.docid", "k"), F.size("pool")).cast("int"))
+    at = at.select("qid", "p", one.alias("n"))
+    return at.select("qid", F.col("p.docid").alias("pos_docid"), F.col("n.docid").alias("neg_docid"), F.col("p.bm25").alias("pos_bm25"), F.col("n.bm25").alias("neg_bm25"))
 
 
 def listwise_samples(cands: DataFrame, qrels: DataFrame, cfg: LtrConfig = LtrConfig()) -> DataFrame:
-    """qid, docid, bm25, label, slot: for each query one positive and list_size - 1 hard negatives, shuffled.
+    """qid, docid, bm25, label, slot: for each query one positive and list_size - 1 hard negatives, in order of their draws.
 
-    Negatives are drawn without replacement if the pool is large enough, else with. A query without a positive among its
-    candidates, or without a negative, gives nothing, as does a list size under 2.
+    The positive is the first by draw; negatives are the first by draw without replacement if the pool is large enough, else each is drawn anew. A query without a
+    positive among its candidates, or without a negative, gives nothing, as does a list size under 2. Draws are by md5 of seed, qid, and what is drawn.
     """
-    seed, pool_size, size = cfg.seed, cfg.hard_pool, cfg.list_size
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        qid = int(pdf["qid"].iloc[0])
-        rng = random.Random((seed * 1000003) ^ qid)
-        pdf = pdf.sort_values("rank")
-        rows = list(zip(pdf["docid"], pdf["bm25"], pdf["label"], strict=True))
-        pos, pool = sorted(r for r in rows if r[2] == 1), [r for r in rows if r[2] == 0][:pool_size]
-        if size < 2 or not pos or not pool:
-            return pd.DataFrame(columns=["qid", "docid", "bm25", "label", "slot"])
-        one = rng.choice(pos)
-        others = rng.sample(pool, size - 1) if len(pool) >= size - 1 else [rng.choice(pool) for _ in range(size - 1)]
-        own = [one, *others]
-        rng.shuffle(own)
-        return pd.DataFrame([(qid, d, s, float(x), i) for i, (d, s, x) in enumerate(own)], columns=["qid", "docid", "bm25", "label", "slot"])
-
-    kind = cands.schema["docid"].dataType.simpleString()
-    return labelled(cands, qrels).groupBy("qid").applyInPandas(sample, f"qid long, docid {kind}, bm25 double, label float, slot int")
+    size = cfg.list_size
+    if size < 2:
+        return cands.select("qid", "docid", "bm25", F.lit(0.0).cast("float").alias("label"), F.lit(0).alias("slot")).limit(0)
+    at = _pools(cands, qrels, cfg).where((F.size("pos") > 0) & (F.size("pool") > 0))
+    by_draw = lambda a, tag: F.array_sort(F.transform(a, lambda x: F.struct(draw(cfg.seed, "qid", x["docid"], F.lit(tag)).alias("d"), x["docid"].alias("docid"), x["bm25"].alias("bm25"))))
+    fresh = F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda k: F.get("pool", F.pmod(draw(cfg.seed, "qid", k, F.lit("again")), F.size("pool")).cast("int")))
+    first = F.transform(F.slice(by_draw("pool", "neg"), 1, size - 1), lambda x: F.struct(x["docid"].alias("docid"), x["bm25"].alias("bm25")))
+    one = F.get(by_draw("pos", "pos"), F.lit(0))
+    taken = F.concat(F.array(F.struct(one["docid"].alias("docid"), one["bm25"].alias("bm25"), F.lit(1).alias("y"))), F.transform(F.when(F.size("pool") >= size - 1, first).otherwise(fresh), lambda x: F.struct(x["docid"].alias("docid"), x["bm25"].alias("bm25"), F.lit(0).alias("y"))))
+    at = at.select("qid", F.posexplode(taken).alias("k", "x")).select("qid", "k", "x.*")
+    at = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(draw(cfg.seed, "qid", "k", F.lit("slot")).alias("d"), "k", "docid", "bm25", "y"))).alias("r"))
+    return at.select("qid", F.posexplode("r").alias("slot", "x")).select("qid", "x.docid", "x.bm25", F.col("x.y").cast("float").alias("label"), "slot")
+
+
+def sampling_status(queries: DataFrame, cands: DataFrame, qrels: DataFrame, cfg: LtrConfig = LtrConfig()) -> DataFrame:
+    """qid, status of every query: ok, or why it gives no list (no_candidates, no_relevant, no_relevant_candidate, no_negative, list_size)."""
+    pools = _pools(cands, qrels, cfg).select("qid", F.size("pos").alias("p"), F.size("pool").alias("n"))
+    rel = qrels.where("rel > 0").select("qid").distinct().withColumn("r", F.lit(1))
+    at = queries.select("qid").distinct().join(pools, "qid", "left").join(rel, "qid", "left")
+    why = F.when(F.lit(cfg.list_size < 2), "list_size").when(F.col("r").isNull(), "no_relevant").when(F.col("p").isNull(), "no_candidates").when(F.col("p") == 0, "no_relevant_candidate").when(F.col("n") == 0, "no_negative")
+    return at.select("qid", why.otherwise("ok").alias("status"))
+
+
+def online_lists(queries: DataFrame, qrels: DataFrame, index: Index, search_cfg: SearchConfig = SearchConfig(), cfg: LtrConfig = LtrConfig(), max_queries: int | None = None) -> DataFrame:
+    """Listwise samples from retrieval as it runs: candidates of the first max_queries queries (by qid) that have any hit. A list size under 2 is an error."""
+    if cfg.list_size < 2:
+        raise ValueError("a list needs a positive and a negative at least")
+    cands = candidates(work_items(queries, qrels), index, search_cfg, cfg.topn)
+    if max_queries is not None:
+        cands = cands.join(F.broadcast(cands.select("qid").distinct().orderBy("qid").limit(max_queries)), "qid", "left_semi")
+    return listwise_samples(cands, qrels, cfg)
 
 
 def _sum(a: Column) -> Column:
@@ -137,8 +147,8 @@ def _sum(a: Column) -> Column:
 def features(cands: DataFrame, queries: DataFrame, corpus: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(), names: tuple[str, ...] = FEATURES) -> DataFrame:
     """qid, docid and the named features of each candidate(qid, docid, bm25).
 
-    IDF comes from the body index for both fields and is 0 for terms that are absent or above the postings cut. Only the candidates' documents
-    are analyzed.
+    IDF comes from the body index for both fields and is 0 for terms that are absent or above the postings cut. Tokens are those that the index keeps; without
+    them, the candidates' documents are analyzed.
     """
     q = queries.select("qid", tokens(F.col("query"), index.analyzer).alias("q")).withColumn("u", F.array_distinct("q"))
     stats = index.term_stats.where(F.col("field") == "body").select("term", "df")
@@ -148,7 +158,12 @@ def features(cands: DataFrame, queries: DataFrame, corpus: DataFrame, index: Ind
     q = q.join(weights, "qid", "left")
     empty = F.expr("CAST(array() AS array<struct<term: string, idf: double>>)")
     wanted = cands.select(F.col("docid").alias("doc_id")).distinct()
-    docs = corpus.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("docid"), tokens(F.col("title"), index.analyzer).alias("t"), tokens(F.col("body"), index.analyzer).alias("b"))
+    if index.doc_terms is not None and {"title", "body"} <= set(index.fields):
+        # the index keeps the analysis
+        known = index.doc_terms.where(F.col("field").isin("title", "body")).join(wanted, "doc_id", "left_semi")
+        docs = known.groupBy(F.col("doc_id").alias("docid")).agg(F.first(F.when(F.col("field") == "title", F.col("tokens")), True).alias("t"), F.first(F.when(F.col("field") == "body", F.col("tokens")), True).alias("b"))
+    else:
+        docs = corpus.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("docid"), tokens(F.col("title"), index.analyzer).alias("t"), tokens(F.col("body"), index.analyzer).alias("b"))
     at = cands.join(q, "qid").join(docs, "docid", "left")
     none = F.expr("CAST(array() AS array<string>)")
     at = at.withColumn("t", F.coalesce("t", none)).withColumn("b", F.coalesce("b", none)).withColumn("w", F.coalesce("w", empty))
@@ -169,6 +184,20 @@ def feature_lists(featured: DataFrame, names: tuple[str, ...] = FEATURES) -> Dat
     return by.select("qid", F.col("r.x").alias("features"), F.col("r.y").alias("labels"))
 
 
+def training_lists(lists: DataFrame, cfg: LtrConfig = LtrConfig()) -> DataFrame:
+    """At most max_lists of the lists, chosen by md5 of seed and qid, so that reruns take the same ones."""
+    return lists.orderBy(F.md5(F.concat_ws(":", F.lit(cfg.seed), "qid")), "qid").limit(cfg.max_lists)
+
+
+def write_lists(lists: DataFrame, path: str, force: bool = False) -> None:
+    """The feature cache on disk."""
+    lists.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def read_lists(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("qid", "features", "labels")
+
+
 def lists_of(rows: DataFrame) -> Iterator[tuple[list, list]]:
     """(features, labels) of each query, one partition at a time."""
     for r in rows.orderBy("qid").toLocalIterator():

@@ -1,7 +1,7 @@
 """A listwise scoring model in NumPy: forward pass, ApproxNDCG training by hand-made gradients, reranking.
 
 Features are normalized, pass through dense layers with relu, optionally attend across the list, and end in one score a document.
-Weights are our own; nothing is carried over from elsewhere.
+Weights are our own; nothing is carried over from elsewhere. Training keeps a share of the lists for validation and gives back the weights of its best epoch.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LtrConfig
@@ -26,7 +28,9 @@ class Model:
     heads: int = 4
     #: query, key, value and output weights of attention across the list after the first layer, if any
     attention: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+    #: loss of each epoch's training, and the validation metrics by name
     history: list[float] = field(default_factory=list)
+    validation: list[dict[str, float]] = field(default_factory=list)
 
     @classmethod
     def fresh(cls, x: np.ndarray, cfg: LtrConfig) -> Model:
@@ -45,13 +49,16 @@ class Model:
         """Scores [lists, documents] of features [lists, documents, features]."""
         return self._pass(x)[0]
 
-    def _pass(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _pass(self, x: np.ndarray, dropout: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores, and each layer's input; with dropout, inner units are left out at random and the rest scaled up."""
         h, kept = (x - self.mean) / self.std, []
         for i, (w, b) in enumerate(self.layers):
             kept.append(h)
             h = h @ w + b
             if i < len(self.layers) - 1:
                 h = np.maximum(h, 0)
+                if dropout and rng is not None:
+                    h = h * (rng.random(h.shape) >= dropout) / (1 - dropout)
                 if i == 0 and self.attention is not None:
                     h = self._attend(h)
         return h[..., 0], kept
@@ -67,12 +74,21 @@ class Model:
         return (y - y.mean(-1, keepdims=True)) / np.sqrt(y.var(-1, keepdims=True) + 1e-3)
 
     def to_json(self) -> str:
-        return json.dumps({"mean": self.mean.tolist(), "std": self.std.tolist(), "layers": [[w.tolist(), b.tolist()] for w, b in self.layers], "heads": self.heads, "attention": None if self.attention is None else [a.tolist() for a in self.attention], "history": self.history})
+        return json.dumps({"mean": self.mean.tolist(), "std": self.std.tolist(), "layers": [[w.tolist(), b.tolist()] for w, b in self.layers], "heads": self.heads, "attention": None if self.attention is None else [a.tolist() for a in self.attention], "history": self.history, "validation": self.validation})
 
     @classmethod
     def from_json(cls, s: str) -> Model:
         d = json.loads(s)
-        return cls(np.array(d["mean"]), np.array(d["std"]), [(np.array(w), np.array(b)) for w, b in d["layers"]], d["heads"], None if d["attention"] is None else tuple(np.array(a) for a in d["attention"]), d["history"])
+        return cls(np.array(d["mean"]), np.array(d["std"]), [(np.array(w), np.array(b)) for w, b in d["layers"]], d["heads"], None if d["attention"] is None else tuple(np.array(a) for a in d["attention"]), d["history"], d.get("validation", []))
+
+    def save(self, spark: SparkSession, path: str, cfg: LtrConfig | None = None) -> None:
+        """Weights, history and, if given, the options they were trained with, as a line of JSON each."""
+        lines = [(self.to_json(),)] + ([(json.dumps(cfg.__dict__),)] if cfg else [])
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return next(cls.from_json(r["value"]) for r in spark.read.text(path).collect() if '"layers"' in r["value"])
 
 
 def approx_ndcg(scores: np.ndarray, labels: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
@@ -94,14 +110,29 @@ def approx_ndcg(scores: np.ndarray, labels: np.ndarray, temperature: float) -> t
     return float(loss.mean()), (d.sum(1) - d.sum(2)) / len(scores)
 
 
-def learning_rate(step: int, steps: int, base: float, schedule: str) -> float:
+def learning_rate(step: int, steps: int, base: float, schedule: str, rate: float = 0.96, alpha: float = 0.0) -> float:
+    """cosine: from base down to alpha * base over the steps; exponential: base * rate per tenth of the steps; else constant."""
+    done = min(1.0, step / max(1, steps))
     if schedule == "cosine":
-        return base * 0.5 * (1 + np.cos(np.pi * step / max(1, steps)))
+        return base * ((1 - alpha) * 0.5 * (1 + np.cos(np.pi * done)) + alpha)
     if schedule == "exponential":
-        return base * 0.96 ** (10 * step / max(1, steps))
+        return base * rate ** (10 * done)
     return base
 
 
+def list_metrics(scores: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """Means over lists: mrr_1, mrr_10, ndcg_10 and recall_1 (of the relevant documents, those ranked first)."""
+    order = np.argsort(-scores, axis=1, kind="stable")
+    hit = np.take_along_axis(labels, order, 1) > 0
+    first = np.where(hit.any(1), hit.argmax(1), np.inf)
+    discount = 1 / np.log2(np.arange(2, hit.shape[1] + 2))
+    ideal = np.array([discount[: min(10, int(n))].sum() for n in hit.sum(1)])
+    dcg = (hit[:, :10] * discount[:10]).sum(1)
+    ok = hit.any(1)
+    mean = lambda v: float(v[ok].mean()) if ok.any() else 0.0
+    return {"mrr_1": mean(first == 0), "mrr_10": mean(np.where(first < 10, 1 / (first + 1), 0.0)), "ndcg_10": mean(dcg / np.where(ideal > 0, ideal, 1)), "recall_1": mean(hit[:, 0] / np.maximum(1, hit.sum(1)))}
+
+
 def pad(x: np.ndarray, size: int) -> np.ndarray:
     """A list of feature rows cut or zero-padded to a size."""
     out = np.zeros((size, x.shape[1]), x.dtype)
@@ -110,42 +141,60 @@ def pad(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def train(lists: Iterable[tuple[list, list]], cfg: LtrConfig = LtrConfig(), batch: int = 64) -> Model:
-    """Model fitted to (features, labels) lists by Adam on ApproxNDCG. Attention weights, if any, stay at random."""
-    data = [(np.array(x, float), np.array(y, float)) for x, y in lists]
+    """Model fitted to at most max_lists (features, labels) lists by Adam on ApproxNDCG.
+
+    The last share of the lists validates; of the epochs the one best by cfg.best_by gives its weights (without validation, the last). Attention weights,
+    if any, can't be trained here.
+    """
+    data = [(np.array(x, np.float32), np.array(y, np.float32)) for x, y in islice(lists, cfg.max_lists)]
     if not data:
         raise ValueError("no list to train on")
     x, y = np.stack([d[0] for d in data]), np.stack([d[1] for d in data])
     model = Model.fresh(x, cfg)
     if model.attention is not None:
         raise ValueError("attention is for inference; training is of the dense layers")
-    rng, moments, step = np.random.default_rng(cfg.seed), None, 0
-    steps = cfg.epochs * -(-len(x) // batch)
+    n_val = int(len(x) * cfg.validation) if len(x) > 1 else 0
+    x, y, vx, vy = x[: len(x) - n_val], y[: len(y) - n_val], x[len(x) - n_val :], y[len(y) - n_val :]
+    rng, moments, step, best = np.random.default_rng(cfg.seed), None, 0, (-np.inf, None)
+    steps = cfg.decay_steps or cfg.epochs * -(-len(x) // batch)
     for _ in range(cfg.epochs):
         losses = []
         order = rng.permutation(len(x))
         for lo in range(0, len(x), batch):
             at = order[lo : lo + batch]
-            s, kept = model._pass(x[at])
-            loss, g = approx_ndcg(s, y[at], cfg.temperature)
+            s, kept = model._pass(x[at].astype(float), cfg.dropout, rng)
+            loss, g = approx_ndcg(s, y[at].astype(float), cfg.temperature)
             losses.append(loss)
             grads, g = [], g[..., None]
             for i in reversed(range(len(model.layers))):
                 grads.append((np.tensordot(kept[i], g, axes=([0, 1], [0, 1])), g.sum((0, 1))))
                 if i:
-                    g = (g @ model.layers[i][0].T) * (kept[i] > 0)
+                    g = (g @ model.layers[i][0].T) * (kept[i] > 0) / (1 - cfg.dropout)
             flat = [a for pair in reversed(grads) for a in pair]
             params = [a for pair in model.layers for a in pair]
             moments = moments or [(np.zeros_like(a), np.zeros_like(a)) for a in params]
-            rate = learning_rate(step, steps, cfg.learning_rate, cfg.schedule)
+            rate = learning_rate(step, steps, cfg.learning_rate, cfg.schedule, cfg.decay_rate, cfg.alpha)
             step += 1
             for a, b, (m, v) in zip(params, flat, moments, strict=True):
                 m += 0.1 * (b - m)
                 v += 0.001 * (b * b - v)
                 a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         model.history.append(float(np.mean(losses)))
+        if n_val:
+            model.validation.append(list_metrics(model.forward(vx.astype(float)), vy))
+            if model.validation[-1][cfg.best_by] > best[0]:
+                best = model.validation[-1][cfg.best_by], [(w.copy(), b.copy()) for w, b in model.layers]
+    if best[1] is not None:
+        model.layers = best[1]
     return model
 
 
+@lru_cache(maxsize=4)
+def _parsed(text: str) -> Model:
+    """One model a worker, not one a query."""
+    return Model.from_json(text)
+
+
 def rerank(featured: DataFrame, model: Model, names: tuple[str, ...], list_size: int, k: int = 10, compat: bool = False) -> DataFrame:
     """qid, rank, docid, score of featured(qid, docid, rank, names...), each query's candidates scored as one list.
 
@@ -155,7 +204,7 @@ def rerank(featured: DataFrame, model: Model, names: tuple[str, ...], list_size:
     kind = featured.schema["docid"].dataType.simpleString()
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Model.from_json(text)
+        m = _parsed(text)
         pdf = pdf.sort_values("rank")
         if compat:
             pdf = pdf.head(list_size)

@@ -30,6 +30,39 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return by.select("qid", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
 
 
+def compare(rankings: dict[str, DataFrame], qrels: DataFrame, k: int = 10) -> DataFrame:
+    """ranking, queries_evaluated, mrr, ndcg of several rankings(qid, docid, rank) of the same queries, a row each."""
+    out: DataFrame | None = None
+    for name, ranked in rankings.items():
+        one = evaluate(ranked.select("qid", F.col("docid").alias("doc_id"), "rank"), qrels, k).select(F.lit(name).alias("ranking"), "queries_evaluated", "mrr", "ndcg")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def containing(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """qid, doc_id of docs(doc_id, text) that hold a passage of passages(qid, passage) whole.
+
+    Documents meet passages on the hash of a passage's first whole words, with what stands between them, and are then searched; passages of fewer words than that are
+    met by a scan, broadcast if they are few.
+    """
+    # from the second word on, as the first may be cut; a passage of blanks and one word has no such run
+    run = rf"(?<=\s)\S+(?:\s+\S+){{{words - 1}}}(?=\s)"
+    keyed = passages.withColumn("key", F.regexp_extract("passage", run, 0))
+    long, short = keyed.where("key != ''"), keyed.where("key = ''").drop("key")
+    starts = F.expr(f"transform(regexp_extract_all(text, '(?<=\\\\s)(?=(\\\\S+(?:\\\\s+\\\\S+){{{words - 1}}})\\\\s)', 1), x -> xxhash64(x))")
+    hashed = docs.select("doc_id", "text", F.explode(F.array_distinct(starts)).alias("h"))
+    found = hashed.join(_few(long.withColumn("h", F.xxhash64("key"))), "h").where(F.contains("text", "passage")).select("qid", "doc_id")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(_few(short), F.contains("text", "passage")).select("qid", "doc_id"))
+    return found.distinct()
+
+
+def _few(df: DataFrame) -> DataFrame:
+    from .score import small
+
+    return small(df)
+
+
 def evaluate(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """queries_evaluated, mrr, ndcg in one row; means over nothing are 0."""
     p = per_query(ranked, qrels, k)
@@ -62,6 +95,11 @@ def funnel(qids: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFram
     return row.select(F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("stage"), "n", share(total).alias("retention"), share(before).alias("step"))
 
 
+def funnel_warnings(row: DataFrame, least: float = 0.5) -> list[str]:
+    """What a funnel's rows(stage, n, retention, step) say is wrong: stages that keep less than a share of the one before. Five rows come to the driver."""
+    return [f"{r['stage']}: {r['n']} queries left, {r['step']:.2f} of the stage before" for r in row.collect() if r["step"] < least]
+
+
 def recall_curve(ranked: DataFrame, qrels: DataFrame, topn: int = 200) -> DataFrame:
     """n, recall: share of queries with a relevant document among the first n."""
     at = sorted({*RECALL_AT, topn})

@@ -13,6 +13,8 @@ from ..plans.index import Index
 
 #: Most rows of a side that is sent to every executor.
 BROADCAST_ROWS = 50_000
+#: Most query terms that are read on the driver and reach the postings' scan as literals.
+FEW_TERMS = 500
 #: Scores are rounded so that sums don't depend on how rows were dealt out.
 DIGITS = 6
 
@@ -62,15 +64,24 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
 
 
 def scores(queries: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(), ranker: str = "bm25") -> DataFrame:
-    """qid, doc_id, score of every document that holds a term of the query."""
+    """qid, doc_id, score of every document that holds a term of the query.
+
+    The terms of a few queries are literals of the scans, so that a saved index reads their buckets and row groups only; those of many
+    queries meet the postings in a join.
+    """
     scorer, cut = get_ranker(ranker)
-    stats = index.term_stats
+    terms, postings, stats = query_terms(queries, index), index.postings, index.term_stats
+    few = terms.limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        known = sorted({r["term"] for r in few})
+        terms = queries.sparkSession.createDataFrame([tuple(r) for r in few], terms.schema)
+        postings, stats = index.postings_of(known), stats.where(F.col("term").isin(known))
     if cut:
         stats = stats.where(F.col("df") <= cfg.postings_cut)  # before the postings are touched
-    terms = query_terms(queries, index)
     # the terms asked for, with their df: the postings meet this side only
-    wanted = small(terms.join(stats.select("field", "term", "df"), "term"))
-    hits = index.postings.join(wanted, ["field", "term"])
+    wanted = terms.join(stats.select("field", "term", "df"), "term")
+    wanted = F.broadcast(wanted) if len(few) <= FEW_TERMS else small(wanted)
+    hits = postings.join(wanted, ["field", "term"])
     part = F.round(F.col("qtf") * scorer(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("field"), cfg), DIGITS)
     return hits.select("qid", "doc_id", part.alias("s")).groupBy("qid", "doc_id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
 
@@ -90,5 +101,6 @@ def search(queries: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
 
 
 def hydrate(ranked: DataFrame, corpus: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """ranked with columns of the corpus, joined after the cut to k so that few rows meet the wide table."""
-    return small(ranked).join(corpus.select("doc_id", *columns), "doc_id")
+    """ranked with columns of the corpus, joined after the cut to k so that few rows meet the wide table; a hit without a document keeps nulls."""
+    found = corpus.join(small(ranked.select(F.col("doc_id").alias("hit_")).distinct()), F.col("doc_id") == F.col("hit_"), "left_semi").select("doc_id", *columns)
+    return ranked.join(found, "doc_id", "left")

@@ -1,6 +1,7 @@
 """The boolean query language: a parser to a small tree, and its plan over scored leaves.
 
-AND binds tightest, then ANDNOT, then OR; elements side by side are an implicit AND; parentheses nest; a phrase stands in single quotes.
+AND binds tightest, then ANDNOT, then OR; elements side by side are an implicit AND, which binds loosest: ``cat or dog tree`` is
+``(cat or dog) and tree``. Parentheses nest; a phrase stands in single quotes.
 Chains of one operator are flat. Operators: and & &&; andnot not -; or | ||.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.analyze import tokens
-from ..operators.score import DIGITS, scores, small, top_k
+from ..operators.expand import SparseEncoder, encode, expand
+from ..operators.score import DIGITS, FEW_TERMS, scores, small, top_k
 from .index import Index
 
 # Spellings of the operators.
@@ -80,15 +82,23 @@ def parse(query: str) -> Node | None:
     elements = lex(query)
     if not elements:
         return None
-    node, rest = _level(elements, 0)
+    node, rest = _side_by_side(elements)
     if rest:
         raise ValueError(f"unexpected {rest[0][1]!r} in {query!r}")
     return node
 
 
+def _side_by_side(e: list[tuple[str, str]]) -> tuple[Node, list[tuple[str, str]]]:
+    parts = []
+    while not parts or (e and e[0][0] in ("LEFT", "TERM", "PHRASE")):
+        node, e = _level(e, 0)
+        parts.append(node)
+    return (parts[0] if len(parts) == 1 else Op("AND", tuple(parts))), e
+
+
 def _level(e: list[tuple[str, str]], depth: int) -> tuple[Node, list[tuple[str, str]]]:
     if depth == len(_LEVELS):
-        return _side_by_side(e)
+        return _operand(e)
     name = _LEVELS[depth]
     node, e = _level(e, depth + 1)
     parts = [node]
@@ -105,21 +115,16 @@ def _level(e: list[tuple[str, str]], depth: int) -> tuple[Node, list[tuple[str,
     return Op(name, tuple(parts)), e
 
 
-def _side_by_side(e: list[tuple[str, str]]) -> tuple[Node, list[tuple[str, str]]]:
-    parts = []
-    while e and e[0][0] in ("LEFT", "TERM", "PHRASE"):
-        kind, text = e[0]
-        if kind == "LEFT":
-            node, e = _level(e[1:], 0)
-            if not e or e[0][0] != "RIGHT":
-                raise ValueError("a parenthesis isn't closed")
-            e = e[1:]
-        else:
-            node, e = (Phrase(text) if kind == "PHRASE" else Term(text)), e[1:]
-        parts.append(node)
-    if not parts:
+def _operand(e: list[tuple[str, str]]) -> tuple[Node, list[tuple[str, str]]]:
+    if not e or e[0][0] not in ("LEFT", "TERM", "PHRASE"):
         raise ValueError("an operator lacks an operand" if e else "the query ends in an operator")
-    return (parts[0] if len(parts) == 1 else Op("AND", tuple(parts))), e
+    kind, text = e[0]
+    if kind != "LEFT":
+        return (Phrase(text) if kind == "PHRASE" else Term(text)), e[1:]
+    node, e = _side_by_side(e[1:])
+    if not e or e[0][0] != "RIGHT":
+        raise ValueError("a parenthesis isn't closed")
+    return node, e[1:]
 
 
 def leaves(node: Node) -> list[Term | Phrase]:
@@ -137,16 +142,22 @@ def phrase_matches(texts: DataFrame, index: Index, cfg: SearchConfig) -> DataFra
     terms = texts.select("qid", tokens(F.col("query"), index.analyzer).alias("t")).where(n > 0)
     terms = terms.withColumn("len", length).withColumn("n_windows", n - length + 1)
     terms = terms.withColumn("w", F.explode(F.expr("sequence(0, n_windows - 1)"))).select("qid", "len", "n_windows", "w", F.posexplode(F.expr("slice(t, w + 1, len)")).alias("j", "term"))
-    at = index.postings.join(small(terms), "term").select("qid", "field", "doc_id", "len", "n_windows", "w", "j", F.explode("positions").alias("pos"))
+    known = sorted({r["term"] for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()})
+    postings = index.postings_of(known) if len(known) <= FEW_TERMS else index.postings
+    at = postings.join(small(terms), "term").select("qid", "field", "doc_id", "len", "n_windows", "w", "j", F.explode("positions").alias("pos"))
     starts = at.groupBy("qid", "field", "doc_id", "w", "len", "n_windows", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("k")).where("k = len")
     found = starts.groupBy("qid", "field", "doc_id", "n_windows").agg(F.count_distinct("w").alias("k")).where("k = n_windows")
     return found.select("qid", "doc_id").distinct()
 
 
-def leaf_scores(spark: SparkSession, nodes: list[Term | Phrase], index: Index, cfg: SearchConfig, ranker: str = "bm25") -> DataFrame:
-    """qid (place in nodes), doc_id, score: all leaves in one pass, each cut to its leaf_topn best."""
+def leaf_scores(spark: SparkSession, nodes: list[Term | Phrase], index: Index, cfg: SearchConfig, ranker: str = "bm25", expander: SparseEncoder | None = None) -> DataFrame:
+    """qid (place in nodes), doc_id, score: all leaves in one pass, each cut to its leaf_topn best. An encoder expands the text of terms; phrases stay."""
     texts = spark.createDataFrame([(i, n.text) for i, n in enumerate(nodes)], "qid long, query string")
-    scored = scores(texts, index, cfg, ranker)
+    asked = texts
+    if expander is not None:
+        terms = [i for i, n in enumerate(nodes) if isinstance(n, Term)]
+        asked = expand(encode(texts.where(F.col("qid").isin(terms)), expander)).unionByName(texts.where(~F.col("qid").isin(terms)))
+    scored = scores(asked, index, cfg, ranker)
     phrases = [i for i, n in enumerate(nodes) if isinstance(n, Phrase)]
     if phrases:
         match = phrase_matches(texts.where(F.col("qid").isin(phrases)), index, cfg)
@@ -154,7 +165,7 @@ def leaf_scores(spark: SparkSession, nodes: list[Term | Phrase], index: Index, c
     return scored if cfg.leaf_topn is None else top_k(scored, cfg.leaf_topn).select("qid", "doc_id", "score")
 
 
-def execute(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = SearchConfig(), ranker: str = "bm25") -> DataFrame:
+def execute(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = SearchConfig(), ranker: str = "bm25", expander: SparseEncoder | None = None) -> DataFrame:
     """doc_id, score of the documents that match a boolean query.
 
     AND sums the scores of documents in all operands, OR of those in any, ANDNOT keeps the left score. An operand
@@ -167,7 +178,7 @@ def execute(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = S
     flat = leaves(node)
     texts = spark.createDataFrame([(i, n.text) for i, n in enumerate(flat)], "qid long, query string")
     blank = {r[0] for r in texts.where(F.size(tokens(F.col("query"), index.analyzer)) == 0).select("qid").collect()}
-    scored = leaf_scores(spark, flat, index, cfg, ranker)
+    scored = leaf_scores(spark, flat, index, cfg, ranker, expander)
     number = iter(range(len(flat)))
 
     def plan(n: Node) -> DataFrame | None:
@@ -198,13 +209,11 @@ def execute(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = S
     return empty if out is None else out
 
 
-def search_boolean(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = SearchConfig(), k: int | None = None, ranker: str = "bm25", ascending: bool = False) -> tuple[DataFrame, int, str]:
+def search_boolean(spark: SparkSession, query: str, index: Index, cfg: SearchConfig = SearchConfig(), k: int | None = None, ranker: str = "bm25", ascending: bool = False, expander: SparseEncoder | None = None) -> tuple[DataFrame, int, str]:
     """(rank, doc_id, score of the best k; matches before the cut; the query as it was read). ascending: worst first, as a compatibility."""
-    found = execute(spark, query, index, cfg, ranker).persist()
+    found = execute(spark, query, index, cfg, ranker, expander)
     order = [F.col("score").asc() if ascending else F.col("score").desc(), F.col("doc_id")]
-    ranked = found.orderBy(*order).limit(cfg.max_results if k is None else k)
-    from pyspark.sql import Window
-
+    best = found.orderBy(*order).limit(cfg.max_results if k is None else k).collect()  # k rows
+    ranked = spark.createDataFrame([(i, r["doc_id"], r["score"]) for i, r in enumerate(best, 1)], f"rank int, doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
     node = parse(query)
-    # k rows
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select("rank", "doc_id", "score"), found.count(), "" if node is None else str(node)
+    return ranked, found.count(), "" if node is None else str(node)

@@ -1,18 +1,18 @@
-"""The inverted index as tables: postings, document lengths and term statistics of each field."""
+"""The inverted index as tables: postings, document terms, document lengths and term statistics of each field."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AnalyzerConfig
+from ..config import AnalyzerConfig, FieldConfig, SearchConfig
 from ..functions.analyze import tokens
 from ..sources.corpus import unpivot
 
-FORMAT = 1
+FORMAT = 2
 TERM_BUCKETS = 64
 
 
@@ -20,7 +20,8 @@ TERM_BUCKETS = 64
 class Index:
     """postings(field, term, doc_id, tf, doc_len[, positions]) carry the length so that scoring joins nothing else.
 
-    doc_stats(field, doc_id, doc_len) holds every document, also those without a token; term_stats(field, term, df, cf).
+    doc_terms(field, doc_id, tokens) keeps the analysis, for features and phrases of known documents; doc_stats(field, doc_id, doc_len) holds every
+    document, also those without a token; term_stats(field, term, df, cf).
     """
 
     postings: DataFrame
@@ -28,33 +29,33 @@ class Index:
     term_stats: DataFrame
     fields: tuple[str, ...]
     analyzer: AnalyzerConfig
+    doc_terms: DataFrame | None = None
+    positions: bool = False
+    _sizes: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
 
     @staticmethod
-    def doc_terms(corpus: DataFrame, fields: tuple[str, ...], analyzer: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
+    def analyzed(corpus: DataFrame, fields: tuple[str, ...], analyzer: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
         """field, doc_id, tokens."""
         return unpivot(corpus, fields).select("field", "doc_id", tokens(F.col("text"), analyzer).alias("tokens"))
 
     @classmethod
     def build(cls, corpus: DataFrame, fields: tuple[str, ...] = ("body",), analyzer: AnalyzerConfig = AnalyzerConfig(), positions: bool = False) -> Index:
-        """Analyzes corpus(doc_id, fields...) and inverts it.
+        """Analyzes corpus(doc_id, fields...) and inverts it."""
+        return cls._of_terms(cls.analyzed(corpus, fields, analyzer), fields, analyzer, positions)
 
-        Terms are counted within each document's row, before any shuffle: the postings need none, term statistics one with
-        partial sums.
-        """
-        terms = cls.doc_terms(corpus, fields, analyzer)
+    @classmethod
+    def _of_terms(cls, terms: DataFrame, fields: tuple[str, ...], analyzer: AnalyzerConfig, positions: bool) -> Index:
+        """Terms are counted, and their positions listed, within each document's row, before any shuffle: the postings need none, term statistics one with partial sums."""
         stats = terms.select("field", "doc_id", F.size("tokens").alias("doc_len"))
-        if positions:
-            flat = terms.select("field", "doc_id", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
-            postings = flat.groupBy("field", "term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-            postings = postings.select("field", "term", "doc_id", "tf", "doc_len", "positions")
-        else:
-            # runs of the sorted tokens: a term's tf is the length of its run
-            flat = terms.select("field", "doc_id", F.size("tokens").alias("doc_len"), F.sort_array("tokens").alias("s"))
-            starts = F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] != s[i - 1])")
-            flat = flat.where("doc_len > 0").withColumn("at", starts)
-            runs = F.expr("transform(at, (i, k) -> named_struct('term', s[i], 'tf', CASE WHEN k + 1 < size(at) THEN at[k + 1] ELSE size(s) END - i))")
-            postings = flat.select("field", "doc_id", "doc_len", F.explode(runs).alias("r")).select("field", "r.term", "doc_id", "r.tf", "doc_len")
-        return cls(postings, stats, cls._term_stats(postings), fields, analyzer)
+        # runs of the sorted tokens: a term's tf is the length of its run
+        listed = F.expr("sort_array(transform(tokens, (t, i) -> struct(t AS t, i AS i)))") if positions else F.expr("sort_array(transform(tokens, t -> struct(t AS t)))")
+        flat = terms.select("field", "doc_id", F.size("tokens").alias("doc_len"), listed.alias("s")).where("doc_len > 0")
+        flat = flat.withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].t != s[i - 1].t)"))
+        end = "(CASE WHEN k + 1 < size(at) THEN at[k + 1] ELSE size(s) END)"
+        places = f", 'positions', transform(slice(s, i + 1, {end} - i), x -> x.i)" if positions else ""
+        runs = F.expr(f"transform(at, (i, k) -> named_struct('term', s[i].t, 'tf', {end} - i{places}))")
+        postings = flat.select("field", "doc_id", "doc_len", F.explode(runs).alias("r")).select("field", "r.term", "doc_id", "r.tf", "doc_len", *(["r.positions"] if positions else []))
+        return cls(postings, stats, cls._term_stats(postings), fields, analyzer, terms, positions)
 
     @staticmethod
     def _term_stats(postings: DataFrame) -> DataFrame:
@@ -65,40 +66,68 @@ class Index:
             t.persist()
         return self
 
+    def sizes(self) -> dict[str, tuple[int, float]]:
+        """Of each field, the number of documents and their mean length."""
+        if not self._sizes:
+            rows = self.doc_stats.groupBy("field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("s")).collect()  # a row a field
+            self._sizes.update({r["field"]: (r["n"], r["s"] / r["n"]) for r in rows})
+        return self._sizes
+
+    def tuned(self, cfg: SearchConfig = SearchConfig()) -> SearchConfig:
+        """cfg with the number of documents and the mean lengths of this index in place of configured ones."""
+        sizes = self.sizes()
+        fields = {f: FieldConfig(cfg.of(f).weight, sizes[f][1]) for f in sizes}
+        return replace(cfg, num_docs=max((n for n, _ in sizes.values()), default=0), fields=cfg.fields | fields)
+
     def save(self, path: str, force: bool = False) -> None:
-        """Parquet tables, split by field and term bucket and sorted by term; existing ones are an error unless forced."""
+        """Parquet tables, postings split by field and term bucket and sorted by term, terms by field; existing ones are an error unless forced. ``meta`` comes last: an index without it isn't whole."""
         mode = "overwrite" if force else "errorifexists"
         spark = self.postings.sparkSession
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term", "doc_id").write.mode(mode).partitionBy("field", "bucket").parquet(f"{path}/postings")
-        self.doc_stats.write.mode(mode).partitionBy("field").parquet(f"{path}/doc_stats")
-        # statistics from the written postings: the analysis isn't run again
-        written = spark.read.parquet(f"{path}/postings")
-        self._term_stats(written).write.mode(mode).partitionBy("field").parquet(f"{path}/term_stats")
-        meta = [json.dumps({"format": FORMAT, "fields": self.fields, "analyzer": self.analyzer.__dict__})]
-        spark.createDataFrame([(m,) for m in meta], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+        self.doc_terms.write.mode(mode).partitionBy("field").parquet(f"{path}/doc_terms")
+        # everything else from the written terms: the analysis runs once
+        again = Index._of_terms(spark.read.parquet(f"{path}/doc_terms").select("field", "doc_id", "tokens"), self.fields, self.analyzer, self.positions)
+        again.postings.withColumn("bucket", _bucket(F.col("term"))).repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term", "doc_id").write.mode(mode).partitionBy("field", "bucket").parquet(f"{path}/postings")
+        again.doc_stats.write.mode(mode).partitionBy("field").parquet(f"{path}/doc_stats")
+        self._term_stats(spark.read.parquet(f"{path}/postings")).repartition("field").sortWithinPartitions("field", "term").write.mode(mode).partitionBy("field").parquet(f"{path}/term_stats")
+        meta = json.dumps({"format": FORMAT, "fields": self.fields, "analyzer": self.analyzer.__dict__, "positions": self.positions})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         if meta["format"] != FORMAT:
             raise ValueError(f"index format {meta['format']}; this version reads {FORMAT}")
-        read = lambda t: spark.read.parquet(f"{path}/{t}")
-        stats = read("term_stats").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))  # a row for each batch of documents
-        return cls(read("postings"), read("doc_stats"), stats, tuple(meta["fields"]), AnalyzerConfig(**meta["analyzer"]))
+        read = lambda t, *c: spark.read.parquet(f"{path}/{t}").select(*c)
+        own = ["field", "term", "doc_id", "tf", "doc_len", *(["positions"] if meta["positions"] else []), "bucket"]
+        stats = read("term_stats", "field", "term", "df", "cf").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))  # a row for each batch of documents
+        return cls(read("postings", *own), read("doc_stats", "field", "doc_id", "doc_len"), stats, tuple(meta["fields"]), AnalyzerConfig(**meta["analyzer"]), read("doc_terms", "field", "doc_id", "tokens"), meta["positions"])
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         """Postings of a few terms: literals reach the scan, as partition and row-group filters."""
         p = self.postings.where(F.col("term").isin(terms))
         if "bucket" in self.postings.columns:
-            buckets = self.postings.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_BUCKETS)).cast("int") for t in terms])).first()[0] if terms else []
-            p = p.where(F.col("bucket").isin(buckets))
+            # constants, folded without a job
+            listed = ", ".join(f"pmod(xxhash64({_literal(t)}), {TERM_BUCKETS})" for t in terms)
+            buckets = self.postings.sparkSession.sql(f"SELECT array({listed}) AS b FROM VALUES (1)").first()[0] if terms else []
+            p = p.where(F.col("bucket").isin(sorted(set(buckets)))).drop("bucket")
         return p
 
     def append(self, corpus: DataFrame, path: str) -> None:
         """Adds documents with new ids to a saved index; document frequencies are summed when read."""
-        more = Index.build(corpus, self.fields, self.analyzer)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-        more.postings.withColumn("bucket", bucket).write.mode("append").partitionBy("field", "bucket").parquet(f"{path}/postings")
-        more.doc_stats.write.mode("append").partitionBy("field").parquet(f"{path}/doc_stats")
-        more.term_stats.write.mode("append").partitionBy("field").parquet(f"{path}/term_stats")
+        terms = Index.analyzed(corpus, self.fields, self.analyzer).persist()
+        try:
+            more = Index._of_terms(terms, self.fields, self.analyzer, self.positions)
+            more.doc_terms.write.mode("append").partitionBy("field").parquet(f"{path}/doc_terms")
+            more.postings.withColumn("bucket", _bucket(F.col("term"))).write.mode("append").partitionBy("field", "bucket").parquet(f"{path}/postings")
+            more.doc_stats.write.mode("append").partitionBy("field").parquet(f"{path}/doc_stats")
+            more.term_stats.write.mode("append").partitionBy("field").parquet(f"{path}/term_stats")
+        finally:
+            terms.unpersist()
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"

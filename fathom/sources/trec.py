@@ -7,18 +7,20 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus import read_lines
+
 CANDIDATES = "qid long, candidates array<struct<docid: string, bm25: double>>"
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """qid, query: split on the first tab; blank, one-column and non-integer lines are dropped."""
+    """row_id, qid, query: split on the first tab; blank, one-column and non-integer lines are dropped."""
     parts = F.split("value", "\t", 2)
-    at = spark.read.option("lineSep", "\n").text(path).select(F.expr("try_cast(trim(split(value, '\t', 2)[0]) AS bigint)").alias("qid"), F.get(parts, F.lit(1)).alias("query"))
+    at = read_lines(spark, path).select("row_id", F.expr("try_cast(trim(split(value, '\t', 2)[0]) AS bigint)").alias("qid"), F.get(parts, F.lit(1)).alias("query"))
     return at.where("qid IS NOT NULL AND query IS NOT NULL")
 
 
 def last_query(queries: DataFrame, order: str = "row_id") -> DataFrame:
-    """One query a qid: the last by order."""
+    """One query a qid: the last by order, for read_queries' rows the last line."""
     return queries.groupBy("qid").agg(F.max_by("query", order).alias("query"))
 
 

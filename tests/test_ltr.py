@@ -13,7 +13,9 @@ CFG = SearchConfig(num_docs=5, postings_cut=100, fields={"title": FieldConfig(2.
 
 def test_readers(spark, tmp_path):
     (tmp_path / "q").write_text("1\tapple pie\trecipe\n\nx\tbad\n2\n3\tlast\n")
-    assert [tuple(r) for r in trec.read_queries(spark, str(tmp_path / "q")).orderBy("qid").collect()] == [(1, "apple pie\trecipe"), (3, "last")]
+    assert [(r.qid, r.query) for r in trec.read_queries(spark, str(tmp_path / "q")).orderBy("qid").collect()] == [(1, "apple pie\trecipe"), (3, "last")]
+    (tmp_path / "q2").write_text("1\tfirst\n2\tother\n1\tsecond\n")
+    assert {(r.qid, r.query) for r in trec.last_query(trec.read_queries(spark, str(tmp_path / "q2"))).collect()} == {(1, "second"), (2, "other")}
     (tmp_path / "r").write_text("1 0 D1 1\n1\t0  D2 0 x\n2 0 D3\nq 0 D4 1\n")
     qrels = trec.read_qrels(spark, str(tmp_path / "r"))
     assert {tuple(r) for r in qrels.collect()} == {(1, "D1", 1), (1, "D2", 0)}
@@ -44,17 +46,43 @@ def test_samples(spark):
     pairs = ltr_data.pair_samples(c, r, 5).collect()
     assert len(pairs) == 5 and {x.pos_docid for x in pairs} == {"p"} and {x.neg_docid for x in pairs} <= {"n1", "n2"}
     lists = ltr_data.listwise_samples(c, r, LtrConfig(list_size=3)).collect()
-    assert len(lists) == 3 and sum(x.label for x in lists) == 1 and {x.qid for x in lists} == {1}
+    assert len(lists) == 3 and sum(x.label for x in lists) == 1 and {x.qid for x in lists} == {1} and sorted(x.slot for x in lists) == [0, 1, 2]
+    assert {x.docid for x in lists} == {"p", "n1", "n2"}  # without replacement where the pool is large enough
+    again = ltr_data.listwise_samples(c, r, LtrConfig(list_size=6)).collect()
+    assert len(again) == 6 and {x.docid for x in again} <= {"p", "n1", "n2"} and sorted(ltr_data.listwise_samples(c.repartition(3), r, LtrConfig(list_size=6)).collect()) == sorted(again)
     assert ltr_data.listwise_samples(c, r, LtrConfig(list_size=1)).count() == 0
+    q = spark.createDataFrame([(i, "q") for i in (1, 2, 3, 4, 5)], "qid long, query string")
+    r2 = r.unionByName(spark.createDataFrame([(4, "x", 1), (5, "only", 1)], r.schema))
+    c2 = c.unionByName(spark.createDataFrame([(5, "only", 1.0, 1)], c.schema))
+    got = {x.qid: x.status for x in ltr_data.sampling_status(q, c2, r2, LtrConfig(list_size=3)).collect()}
+    assert got == {1: "ok", 2: "no_relevant_candidate", 3: "no_relevant", 4: "no_candidates", 5: "no_negative"}
+    assert {x.status for x in ltr_data.sampling_status(q, c2, r2, LtrConfig(list_size=1)).collect()} == {"list_size"}
+    positive, missing = ltr_data.map_positives(r, spark.createDataFrame([("p",)], "doc_id string"))
+    assert [tuple(x[c] for c in ("qid", "docid")) for x in positive.collect()] == [(1, "p")] and missing.first().unmapped == 1
+    assert [x.qid for x in ltr_data.work_items(q, r, 1).collect()] == [1]
+
+
+def test_online_lists(spark, harbour):
+    q = spark.createDataFrame([(1, "tide"), (2, "gate"), (3, "nowhere")], "qid long, query string")
+    r = spark.createDataFrame([(1, "h1", 1), (2, "h4", 1), (3, "h5", 1)], "qid long, docid string, rel int")
+    index = Index.build(harbour, ("title", "body"))
+    got = ltr_data.online_lists(q, r, index, CFG, LtrConfig(list_size=2, topn=5), 1).collect()
+    assert {x.qid for x in got} == {1} and len(got) == 2
+    assert {x.qid for x in ltr_data.online_lists(q, r, index, CFG, LtrConfig(list_size=2, topn=5)).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        ltr_data.online_lists(q, r, index, CFG, LtrConfig(list_size=1))
 
 
-def test_features(spark, fruit):
-    q = spark.createDataFrame([(1, "apple pie recipe")], "qid long, query string")
-    c = fruit.select(F.lit(1).cast("long").alias("qid"), F.col("doc_id").alias("docid"), F.lit(0.5).alias("bm25"))
-    got = {r.docid: tuple(r[n] for n in FEATURES) for r in ltr_data.features(c, q, fruit, Index.build(fruit, ("title", "body")), CFG).collect()}
-    assert got["D001"] == pytest.approx((0.5, 3, 3, 3, 11, 1, 2, 0.666667, 1.414465, 0.538997), abs=2e-6)
-    assert got["D003"] == pytest.approx((0.5, 3, 3, 3, 12, 1, 3, 1.0, 2.800760, 1.386294), abs=2e-6)
-    assert got["D002"] == (0.5, 3, 3, 2, 7, 0, 0, 0.0, 0.0, 0.0)
+def test_features(spark, harbour):
+    q = spark.createDataFrame([(1, "bay tide walk")], "qid long, query string")
+    c = harbour.select(F.lit(1).cast("long").alias("qid"), F.col("doc_id").alias("docid"), F.lit(0.5).alias("bm25"))
+    index = Index.build(harbour, ("title", "body"))
+    got = {r.docid: tuple(r[n] for n in FEATURES) for r in ltr_data.features(c, q, harbour, index, CFG).collect()}
+    assert got["h1"] == pytest.approx((0.5, 3, 3, 2, 13, 1, 1, 0.333333, 0.875469, 0.875469), abs=2e-6)
+    assert got["h5"] == pytest.approx((0.5, 3, 3, 3, 7, 3, 3, 1.0, 3.137232, 3.137232), abs=2e-6)
+    assert got["h2"] == (0.5, 3, 3, 2, 9, 0, 0, 0.0, 0.0, 0.0)
+    index.doc_terms = None  # without kept terms the documents are analyzed
+    assert {r.docid: tuple(r[n] for n in FEATURES) for r in ltr_data.features(c, q, harbour, index, CFG).collect()} == got
 
 
 def test_metrics(spark):
@@ -64,6 +92,18 @@ def test_metrics(spark):
     assert row.mrr == 0.5 and row.ndcg == pytest.approx(0.650921, abs=1e-6)
     assert metrics.evaluate(ranked.limit(0), qrels).first()[:] == (0, 0.0, 0.0)
     assert metrics.candidate_recall(ranked, qrels).first()[:] == (1, 1.0, 2.0)
+    rows = metrics.compare({"a": ranked.withColumnRenamed("doc_id", "docid"), "b": ranked.limit(0).withColumnRenamed("doc_id", "docid")}, qrels).collect()
+    assert [(r.ranking, r.queries_evaluated, r.mrr) for r in rows] == [("a", 1, 0.5), ("b", 0, 0.0)]
+    f = metrics.funnel(qrels.select("qid"), qrels.select("qid"), qrels, ranked.select("doc_id"), ranked)
+    assert len(metrics.funnel_warnings(f, 0.6)) == 1 and metrics.funnel_warnings(f, 0.4) == []
+
+
+def test_passages_in_documents(spark):
+    docs = [(1, "x one two three four five six y"), (2, "ne two three four five si"), (3, "a  b"), (4, "one two three four five six"), (5, None)]
+    passages = [(1, "one two three four five six"), (2, "a  b"), (3, "two three four"), (4, "absent words that nobody ever wrote")]
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "qid long, passage string")
+    want = {(q, i) for i, t in docs for q, s in passages if t and s in t}
+    assert {(r.qid, r.doc_id) for r in metrics.containing(d, p).collect()} == want
 
 
 def test_dense(spark):
@@ -88,8 +128,13 @@ def test_model_learns_and_gradient():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 6, 4))
     y = (x[..., 0] == x[..., 0].max(1, keepdims=True)).astype(float)
-    m = ltr_model.train(zip(x, y, strict=True), LtrConfig(hidden=(16, 8), epochs=40, learning_rate=0.01))
-    assert m.history[-1] < m.history[0] - 0.1
+    cfg = LtrConfig(hidden=(16, 8), epochs=40, learning_rate=0.01)
+    m = ltr_model.train(zip(x, y, strict=True), cfg)
+    assert m.history[-1] < m.history[0] - 0.1 and len(m.validation) == 40
+    assert ltr_model.list_metrics(m.forward(x[54:]), y[54:]) == max(m.validation, key=lambda v: v["ndcg_10"])  # the best epoch's weights
+    assert ltr_model.train(zip(x, y, strict=True), LtrConfig(hidden=(16, 8), epochs=2, dropout=0.3, schedule="exponential", validation=0.0)).validation == []
+    assert ltr_model.list_metrics(np.array([[1.0, 3, 2], [3, 2, 1]]), np.array([[1, 0, 0], [1, 0, 0]])) == {"mrr_1": 0.5, "mrr_10": pytest.approx(2 / 3), "ndcg_10": 0.75, "recall_1": 0.5}
+    assert [round(ltr_model.learning_rate(s, 10, 1.0, "cosine", alpha=0.2), 3) for s in (0, 5, 10, 15)] == [1.0, 0.6, 0.2, 0.2]
     assert (m.forward(x).argmax(1) == y.argmax(1)).mean() > 0.7
     s = rng.normal(size=(1, 6))
     _, g = ltr_model.approx_ndcg(s, y[:1], 0.5)
@@ -103,6 +148,19 @@ def test_model_learns_and_gradient():
     assert att.forward(x).shape == (60, 6)
 
 
+def test_model_and_lists_on_disk(spark, tmp_path):
+    m = ltr_model.Model(np.zeros(2), np.ones(2), [(np.ones((2, 1)), np.zeros(1))], history=[1.0], validation=[{"ndcg_10": 0.5}])
+    m.save(spark, str(tmp_path / "m"), LtrConfig())
+    again = ltr_model.Model.load(spark, str(tmp_path / "m"))
+    assert again.history == [1.0] and again.validation == m.validation and (again.layers[0][0] == m.layers[0][0]).all()
+    lists = spark.createDataFrame([(i, [[1.0]], [1.0]) for i in range(9)], "qid long, features array<array<float>>, labels array<float>")
+    ltr_data.write_lists(lists, str(tmp_path / "l"))
+    back = ltr_data.read_lists(spark, str(tmp_path / "l"))
+    few = sorted(r.qid for r in ltr_data.training_lists(back, LtrConfig(max_lists=4)).collect())
+    assert len(few) == 4 and few == sorted(r.qid for r in ltr_data.training_lists(back.repartition(5), LtrConfig(max_lists=4)).collect())
+    assert sum(1 for _ in ltr_data.lists_of(back)) == 9
+
+
 def test_rerank(spark):
     rows = spark.createDataFrame([(1, "D1", 1, 0.1), (1, "D2", 2, 0.9)], "qid long, docid string, rank int, f double")
     m = ltr_model.Model(np.zeros(1), np.ones(1), [(np.ones((1, 1)), np.zeros(1))])
