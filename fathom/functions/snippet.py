@@ -27,13 +27,13 @@ def snippets(rows: DataFrame, cfg: ChunkerConfig = ChunkerConfig(), text: str =
     at = rows.withColumn("_w", F.expr(_words(f"coalesce({text}, '')"))).withColumn("_q", F.expr(f"array_distinct({_words(f'lower(coalesce({query}, {chr(39) * 2}))')})"))
     at = at.withColumn("_n", F.expr(f"CASE WHEN size(_w) > 0 THEN greatest(1, cast({SNIPPET_CHARS} div (2 * greatest(1, length(array_join(_w, '')) div size(_w))) as int)) ELSE 1 END"))
     at = at.withColumn("_s", F.expr(f"greatest(1, _n - {cfg.overlap})"))
-    best = """array_max(transform(sequence(0, greatest(0, size(_w) - 1), _s), a -> struct(
-        size(array_intersect(_q, transform(slice(_w, a + 1, _n), w -> lower(w)))) AS u,
-        size(filter(slice(_w, a + 1, _n), w -> array_contains(_q, lower(w)))) / size(slice(_w, a + 1, _n)) AS c,
-        size(filter(slice(_w, a + 1, _n), w -> array_contains(_q, lower(w)))) AS t, -a AS b)))"""
+    # each word's place in the query, once; a window then counts numbers
+    at = at.withColumn("_h", F.expr("transform(_w, w -> array_position(_q, lower(w)))"))
+    best = """array_max(transform(sequence(0, greatest(0, size(_w) - 1), _s), a -> transform(array(slice(_h, a + 1, _n)), s -> transform(array(filter(s, x -> x > 0)), f -> struct(
+        size(array_distinct(f)) AS u, size(f) / size(s) AS c, size(f) AS t, -a AS b))[0])[0]))"""
     at = at.withColumn("_b", F.expr(f"CASE WHEN size(_w) > 0 AND size(_q) > 0 THEN {best} END"))
     shown = F.when(F.size("_w") == 0, F.lit("")).when(F.size("_q") == 0, F.expr("lower(array_join(slice(_w, 1, _n), ' '))")).otherwise(F.expr("concat('...', array_join(slice(_w, 1 - _b.b, _n), ' '), '...')"))
-    return at.withColumn("snippet", shown).drop("_w", "_q", "_n", "_s", "_b")
+    return at.withColumn("snippet", shown).drop("_w", "_q", "_n", "_s", "_h", "_b")
 
 
 def highlight(text: Column, query: Column) -> Column:

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .score import DIGITS, top_k
+from .score import BROADCAST_ROWS, DIGITS, small, top_k
 
-#: Query vectors that are sent to the tasks at once; more are worked off in blocks.
-QUERY_BLOCK = 1024
+#: Vectors and queries that meet in one matrix product.
+VECTOR_BLOCK = 1024
+QUERY_BLOCK = 512
 DOCUMENT_CHARS = 2048
 PREFIXES = {"query": "search_query: ", "document": "search_document: "}
 
@@ -95,41 +96,35 @@ def dense_one(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("doc_id", F.round(cosine(F.col("vec"), q), DIGITS).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def _blocks(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """names: arrays of the keys and vectors of about so many rows each, dealt by a hash of the key."""
+    number = max(1, -(-rows.count() // size))
+    own = rows.select(F.col(key).alias("k"), "vec", F.pmod(F.xxhash64(key), F.lit(number)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("k", "vec")).alias("x"))
+    return own.select(F.col("x.k").alias(names[0]), F.col("x.vec").alias(names[1]))
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank, doc_id, score of the k vectors of vectors(doc_id, vec) nearest to each of queries(qid, vec).
 
-    Matrix products in the tasks, each of which passes on its k best per query; the queries go out in blocks.
+    Every block of queries meets every block of vectors in one matrix product, which passes on its k best per query; nothing comes to the driver but two counts.
     """
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator()
-    out: DataFrame | None = None
-    while True:
-        block = [r for r, _ in zip(rows, range(QUERY_BLOCK))]
-        if not block:
-            break
-        part = vectors.select("doc_id", "vec").mapInPandas(_nearest(np.array([r["vec"] for r in block], np.float64), np.array([r["qid"] for r in block]), k), f"qid long, doc_id {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.select(F.lit(0).cast("long").alias("qid"), "doc_id", F.lit(0.0).alias("score")).limit(0)
-    return top_k(out, k).select("qid", "rank", "doc_id", "score")
-
-
-def _nearest(q: np.ndarray, qids: np.ndarray, k: int):
+    asked = small(_blocks(queries, "qid", QUERY_BLOCK, ("qids", "q")), BROADCAST_ROWS // QUERY_BLOCK)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
         for b in batches:
-            if not len(b):
-                continue
-            s = np.round(q @ np.stack(b["vec"].to_numpy()).astype(np.float64).T, DIGITS)
-            ids = b["doc_id"].to_numpy()
-            near = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            # ties at the edge of the k best are settled by id, so all of them stay for now
-            edge = np.take_along_axis(s, near, 1).min(1)
-            i, j = np.nonzero(s >= edge[:, None])
-            now = pd.DataFrame({"qid": qids[i], "doc_id": ids[j], "score": s[i, j]})
-            best = now if best is None else pd.concat([best, now])
-            best = best.sort_values(["qid", "score", "doc_id"], ascending=[True, False, True]).groupby("qid").head(k)
-        if best is not None:
-            yield best
-
-    return run
+            for qids, q, ids, v in zip(b["qids"], b["q"], b["ids"], b["v"], strict=True):
+                yield _nearest(np.stack(q).astype(np.float64), np.asarray(qids), np.stack(v).astype(np.float64), np.asarray(ids), k)
+
+    meet = _blocks(vectors, "doc_id", VECTOR_BLOCK, ("ids", "v")).crossJoin(asked)
+    return top_k(meet.mapInPandas(run, f"qid long, doc_id {kind}, score double"), k).select("qid", "rank", "doc_id", "score")
+
+
+def _nearest(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    s = np.round(q @ v.T, DIGITS)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    # ties at the edge of the k best are settled by id, so all of them stay for now
+    edge = np.take_along_axis(s, near, 1).min(1)
+    i, j = np.nonzero(s >= edge[:, None])
+    best = pd.DataFrame({"qid": qids[i], "doc_id": ids[j], "score": s[i, j]})
+    return best.sort_values(["qid", "score", "doc_id"], ascending=[True, False, True]).groupby("qid").head(k)

@@ -568,7 +568,16 @@ def _(spark, sf):
 # --- Snippets and expansion ---------------------------------------------------------------------
 
 
-@query("snippets")
+@query(
+    "snippets",
+    f"""{sql_scores(_values(TEXT_QUERIES), DOCS)}, {sql_ranked(10)}, t AS (SELECT qid, rank, doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS qw
+  FROM rk JOIN documents USING (doc_id) JOIN q USING (qid)),
+n AS (SELECT *, greatest(1, 250 // (2 * greatest(1, length(array_to_string(w, '')) // len(w)))) AS n FROM t),
+x AS (SELECT qid, rank, doc_id, qw, a, w[a + 1 : a + n] AS s FROM (SELECT *, unnest(range(0, len(w), greatest(1, n - 10))) AS a FROM n)),
+y AS (SELECT *, list_filter(list_transform(s, lambda v: lower(v)), lambda v: list_contains(qw, v)) AS f FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY len(list_distinct(f)) DESC, len(f)::DOUBLE / len(s) DESC, len(f) DESC, a) AS k FROM y)
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, '...' || array_to_string(s, ' ') || '...' AS snippet FROM z WHERE k = 1""",
+)
 def _(spark, sf):
     asked = text_queries(spark)
     ranked = search(asked, *tuned(doc_index(spark, sf), DOCS)).join(asked, "qid")
@@ -589,7 +598,12 @@ def _related(texts: list[str]) -> list[list[tuple[str, float]]]:
     return [[(x, w) for i, t in enumerate(s.split()) for x, w in ((t, 1.0), (t + "s", 0.5 - i / 100))] for s in texts]
 
 
-@query("expansion")
+@query(
+    "expansion",
+    f"""WITH q AS ({_values(TEXT_QUERIES)}), t AS (SELECT qid, query, unnest(string_split(query, ' ')) AS w, generate_subscripts(string_split(query, ' '), 1) AS i FROM q),
+p AS (SELECT qid, w || 's' AS p, min(i) AS i FROM t WHERE NOT list_contains(string_split(query, ' '), w || 's') GROUP BY ALL), r AS (SELECT qid, p, row_number() OVER (PARTITION BY qid ORDER BY i) AS k FROM p)
+SELECT qid, (SELECT string_agg(p, ' ' ORDER BY k) FROM r WHERE r.qid = q.qid AND k <= 2) || ' ' || query AS query FROM q""",
+)
 def _(spark, sf):
     return expand(encode(text_queries(spark), _related))
 

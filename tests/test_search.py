@@ -111,6 +111,14 @@ def test_kept_index_follows_its_table(spark, harbour, tmp_path):
     assert kept(spark, path, "t", build).sizes()["body"][0] == 5 and len(built) == 2
 
 
+def test_measured_build(spark, harbour, tmp_path):
+    from fathom.plans.report import measured_build
+
+    for _ in range(2):
+        got = measured_build(harbour, str(tmp_path / "ix"), ("title", "body"), log=str(tmp_path / "log"))
+    assert got["docs"] == 5 and got["docs_per_second"] > 0 and got["kib_per_doc"] > 0 and spark.read.text(str(tmp_path / "log")).count() == 2
+
+
 def test_vector_store(spark, tmp_path):
     from fathom.sources.vectors import VectorStore
 
