@@ -119,6 +119,20 @@ def skewed_join(big: DataFrame, side: DataFrame, keys: list[str], n: str = "n")
     return rare.unionByName(big.join(some, keys))
 
 
+def salted_join(big: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of big with side, unique in key, whose rows may be large: the row of a heavy key is handed out in several copies, each for a part of big's rows, dealt by spread."""
+    often = heavy(big.groupBy(key).agg(F.count("*").alias("n")))
+    if not often:
+        return big.join(side, key)
+    names = [*big.columns, *side.columns]
+    part, parts = fresh_name("part_", names), fresh_name("parts_", names)
+    kind = big.schema[key].dataType.simpleString()
+    dealt = F.broadcast(big.sparkSession.createDataFrame([(r[key], -(-r["n"] // HEAVY_LEAST)) for r in often], f"`{key}` {kind}, `{parts}` int"))
+    left = big.join(dealt, key, "left").withColumn(part, F.pmod(F.xxhash64(spread), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    right = side.join(dealt, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [key, part]).drop(part)
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """Batches cut into pieces of so many rows, to bound what is made of them at once."""
     for b in batches:

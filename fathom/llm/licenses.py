@@ -10,7 +10,9 @@ those of the base phrases, which always stay.
 Everything is a Column expression: one scan, no shuffle, no Python. Work per text is linear in its length times
 the rules whose keyword it holds, plus n log n in its detections.
 
-Defined results: null is read as empty (0 words, no label, score 0); repeated rows give repeated results.
+Defined results: null is read as empty (0 words, no label, score 0), as is a text without a word; repeated rows give repeated results; an empty table gives an
+empty result; detections that tie in place and length are worked off in order of priority, then label; very long texts need memory in proportion to
+their length; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

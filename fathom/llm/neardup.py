@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_LEAST, Tables, fresh_name, heavy, skewed_join, slices, text_key
+from .common import Tables, fresh_name, salted_join, skewed_join, slices, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
@@ -182,19 +182,6 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(run, "tkey binary, n long, sk array<bigint>, seq binary")
 
 
-def _with_sequence(pairs: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:
-    """pairs with the sequence of one end; a node in many pairs is handed out in several copies, each for a part of them."""
-    often = heavy(pairs.groupBy(end).agg(F.count("*").alias("n")))
-    seqs = nodes.select(F.col("node").alias(end), F.col("seq").alias(name))
-    if not often:
-        return pairs.join(seqs, end)
-    parts = F.broadcast(pairs.sparkSession.createDataFrame([(r[end], -(-r["n"] // HEAVY_LEAST)) for r in often], f"{end} long, parts int"))
-    other = "u" if end == "v" else "v"
-    left = pairs.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = seqs.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return left.join(right, [end, "part"]).drop("part")
-
-
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tables) -> DataFrame:
     """Those of pairs(u, v) that align at the threshold."""
 
@@ -204,7 +191,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tabl
             yield b.loc[ok, ["u", "v"]]
 
     pairs = tables.cut(pairs)
-    both = _with_sequence(pairs, nodes, "v", "y")
+    both = salted_join(pairs, nodes.select(F.col("node").alias("v"), F.col("seq").alias("y")), "v", "u")
     # the other end is a leader too in few pairs only
     both = both.join(nodes.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u")
     out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"))

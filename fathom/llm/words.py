@@ -1,4 +1,7 @@
-"""Words of many texts at once as 64-bit hashes, by prefix sums over their bytes."""
+"""Words of many texts at once as 64-bit hashes, by prefix sums over their bytes.
+
+Null texts have no words; texts are worked off in chunks of some megabytes, a longer one in a chunk of its own; equal words have equal hashes.
+"""
 
 from __future__ import annotations
 

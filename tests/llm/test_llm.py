@@ -412,6 +412,22 @@ def test_feistel_is_a_permutation():
 # --- 5 -------------------------------------------------------------------------------------------
 
 
+def test_signatures_against_brute_force():
+    """Chains of the two content words, two apart, behind each anchor, counted by their words."""
+    rng = random.Random(14)
+    anchors, pool = spotsigs.ANCHORS[:6], [words(rng, 1) for _ in range(40)]
+    for _ in range(60):
+        t = [rng.choice(anchors) if rng.random() < 0.4 else rng.choice(pool) for _ in range(rng.randint(40, 90))]
+        content = [i for i, w in enumerate(t) if w not in spotsigs.ANCHORS]
+        chains = set()
+        for i, w in enumerate(t):
+            ahead = [c for c in content if c > i]
+            if w in spotsigs.ANCHORS and len(ahead) > (spotsigs.CHAIN - 1) * spotsigs.SPOT:
+                chains.add((w, *[t[ahead[k * spotsigs.SPOT]] for k in range(spotsigs.CHAIN)]))
+        if len(chains) >= spotsigs.FEW:
+            assert len(spotsigs.signature_sets([" ".join(t)])[0]) == len(chains)
+
+
 def test_fingerprints(spark, nothing):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the", "a", "of", words(rng, 1), words(rng, 1)]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["the the", "", "x"]
@@ -534,6 +550,10 @@ def test_mix(spark, awkward, nothing):
         sizes[r.source] += len(r.text.split())
     assert all(abs(sizes[s] - target[s]) <= 30 for s in names)
     assert mixing.mix_digest(awkward).count() == 12 and mixing.mixed_documents(awkward).columns == awkward.columns
+    odd = Counter(r.doc_id for r in mixing.mixed_documents(awkward).collect())
+    assert {2, 3, 4, None} <= set(odd)  # texts without a word stay once
+    many = spark.createDataFrame([(1, "same words here", "en", "a", 0)] * 300 + [(2, "other words", "en", "b", 0)], SCHEMA)
+    assert mixing.mixed_documents(many).where("doc_id = 1").count() in range(290, 301)
     assert mixing.mix_digest(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
@@ -558,6 +578,19 @@ def test_language(spark, awkward, nothing):
     assert one.predict(["hello", "12"])[0] == ["xx", "und"]
 
 
+def test_language_decoding_by_hand():
+    """Loss-weighted decoding of one text, language by language and bit by bit."""
+    import math
+
+    texts, labels = ["kalo mi tre", "vanos ul pe", "zsch ich ung"] * 4, ["aa", "bb", "cc"] * 4
+    m = langid.fit(langid.features(texts), labels)
+    f = langid.features(["kalo ich pe"])[0] @ m.weights + m.bias
+    loss = [sum(t * math.log1p(math.exp(-c * v)) for c, v, t in zip(code, f, m.trust, strict=True)) / sum(m.trust) for code in m.code]
+    e = [math.exp(4 * (min(loss) - x)) for x in loss]
+    langs, scores, close = m.predict(["kalo ich pe"])
+    assert langs == [m.languages[loss.index(min(loss))]] and scores[0] == pytest.approx(max(e) / sum(e), rel=1e-4) and close[0] == (max(e) / sum(e) < langid.CLOSE)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 9])
 def test_codewords_differ(n):
     c = langid.codewords(n)
@@ -592,6 +625,28 @@ def test_licenses(spark, awkward, nothing):
     assert len(rows) == 12 and {r.labels for r in rows} == {""} and licenses.license_scan(nothing).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Labels, detections and score of texts made of rules' matches, by Python's expressions and a sweep of all pairs of detections."""
+    rng = random.Random(13)
+    parts = [
+        "licensed under the apache license version 2 0", "the mit license", "released under the gpl v3", "general public license", "cc by sa 4 0", "all rights reserved", "copyright c 2020", "isc license",
+        "subject to the terms of the mozilla public license 2 0", "provided as is", "without warranty of any kind", "in the public domain", "bsd 3 clause license", "creative commons attribution 4 0 international license", "gnu general public license version 2",
+    ]
+    texts = [" ".join(rng.choice([rng.choice(parts), words(rng, rng.randint(1, 3))]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        x = f" {t} "
+        found = sorted((m.start(), -m.end(), p, label) for _, e, label, p in licenses.rules() for m in re.finditer(e, x))
+        left = []
+        for k, (s, z, p, label) in enumerate(found):
+            if not any(z2 <= z and p2 <= p for s2, z2, p2, _ in left if s2 <= s):
+                left.append((s, z, p, label))
+        base = sum(len(re.findall(f"(?= {b} )", x)) for b in licenses.BASE)
+        labels = {f[3] for f in left} | {v for b, v in licenses.BASE.items() if f" {b} " in x}
+        assert got[i].labels == ",".join(sorted(labels)) and got[i].n_detections == len(left) and got[i].n_base == base, t
+        assert got[i].score == pytest.approx(1 - 0.5 ** min(60, base + len(left)))
+
+
 def test_licenses_gate(spark):
     """Texts that hold no word but those of their one rule."""
     want = {
