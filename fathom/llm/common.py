@@ -57,6 +57,10 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a narrow table that one task writes.
+ROWS_PER_TASK = 100_000
+
+
 class Tables:
     """Tables that an operator writes to the shared folder to cut its lineage: parquet, so later steps read the columns they use.
 
@@ -75,8 +79,10 @@ class Tables:
         with contextlib.suppress(Exception):  # the session may be gone
             remove(self.spark, self.base)
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and go on from what was written."""
+    def cut(self, df: DataFrame, rows: int | None = None, per_task: int = ROWS_PER_TASK) -> DataFrame:
+        """Write df and go on from what was written. Where a bound of its rows is known, no more tasks write it than those take."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_task)))
         path, conf = f"{self.base}/{len(self.made)}", self.spark.conf
         old = conf.get(self.FILES)
         conf.set(self.FILES, "true")

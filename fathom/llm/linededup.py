@@ -35,9 +35,9 @@ def _place() -> Column:
     return F.struct("none", "doc_id", "doc", "i")
 
 
-def _ranked(tables: Tables, distinct: DataFrame, *keys: str) -> DataFrame:
+def _ranked(tables: Tables, distinct: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Distinct keys with a rank that grows with them."""
-    return tables.cut(distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
+    return tables.cut(distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), rows)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", tables: Tables | None = None) -> DataFrame:
@@ -46,8 +46,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
     lines = docs.select("doc_id", row_key("doc_id", text).alias("doc"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("l"))
     lines = lines.select(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", F.posexplode(F.filter(F.transform("l", lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda e: F.rlike(e["x"], F.lit(_HAS_WORD)))).alias("i", "e"))
     lines = tables.cut(lines.select("none", "doc_id", "doc", "i", F.col("e.n").alias("n"), F.unhex(F.md5("e.x")).alias("line"), F.least(F.lit(min_words), F.size(F.regexp_extract_all("e.x", F.lit(_WORD), F.lit(0)))).alias("words")))
+    count = lines.count()
     ids = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count("*").alias("times")).where("first != last")
-    ids = _ranked(tables, ids.drop("last"), "line")
+    ids = _ranked(tables, ids.drop("last"), count, "line")
     at = skewed_join(lines, ids, ["line"], "times").select("none", "doc_id", "doc", "i", "n", "words", "rank", "first")
     own = ["none", "doc_id", "doc"]
     # a document's repeated lines; first is the place of each line's first copy
@@ -59,14 +60,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
       named_struct('a', j, 'm', -aggregate(sequence(0, least({min_words - 1}, j)), named_struct('w', 0, 'm', 0), (t, b) ->
         CASE WHEN t.w >= {min_words} OR s[j - b].i != e.i - b THEN t ELSE named_struct('w', t.w + s[j - b].words, 'm', t.m + 1) END, t -> CASE WHEN t.w >= {min_words} THEN t.m ELSE 0 END))))), r -> r.m != 0)"""
     seq = seq.withColumn("runs", F.expr(f"array_distinct(transform({runs}, r -> CASE WHEN r.m < 0 THEN named_struct('a', r.a + r.m + 1, 'm', -r.m) ELSE r END))"))
-    seq = tables.cut(seq.where(F.size("runs") > 0))
+    seq = tables.cut(seq.where(F.size("runs") > 0), count)
     tables.drop(lines)
     # runs of one line: their interval's first member is the line's own
     single = seq.select(*own, F.explode(F.expr("transform(filter(runs, r -> r.m = 1), r -> s[r.a])")).alias("e"))
     later = single.where(F.struct("none", "doc_id", "doc", "e.i") > F.col("e.first")).select(*own, F.col("e.i").alias("i"), F.array("e.n").alias("lines"), F.col("e.first").alias("first"))
     # longer runs: doubling within the documents that have any
     deep = seq.select(*own, F.expr("transform(s, e -> struct(e.i AS i, e.n AS n))").alias("s"), F.expr("filter(runs, r -> r.m > 1)").alias("runs"), F.expr("transform(s, e -> e.rank)").alias("r")).where(F.size("runs") > 0)
-    ranks, width, levels = tables.cut(deep), 1, []
+    ranks, width, levels = tables.cut(deep, count), 1, []
     while True:
         # runs of width < m <= 2 * width (from width on at first) are told by two overlapping ranks of this level; a rank of -1 is of a run that occurs once
         wanted = ranks.select(*own, "s", "r", F.explode(F.expr(f"filter(runs, x -> x.m > {width} AND x.m <= {2 * width})")).alias("x"))
@@ -76,18 +77,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
             break
         pairs = ranks.where(F.expr(f"exists(runs, x -> x.m > {2 * width})"))
         pairs = pairs.select(*own, F.posexplode(F.expr(f"transform(r, (v, j) -> named_struct('a', v, 'b', CASE WHEN j + {width} < size(s) AND s[j + {width}].i = s[j].i + {width} THEN r[j + {width}] ELSE -1L END))")).alias("j", "p"))
-        pairs = tables.cut(pairs.select(*own, "j", "p.a", "p.b").where("a >= 0 AND b >= 0"))
-        named = _ranked(tables, pairs.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1"), "a", "b")
+        pairs = tables.cut(pairs.select(*own, "j", "p.a", "p.b").where("a >= 0 AND b >= 0"), count)
+        named = _ranked(tables, pairs.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1"), count, "a", "b")
         again = skewed_join(pairs, named, ["a", "b"], "times").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("j", "rank"))).alias("named"))
         width *= 2
         known = ranks.drop("r").where(F.expr(f"exists(runs, x -> x.m > {width})")).join(again, "doc")
-        ranks = tables.cut(known.withColumn("r", F.expr("transform(s, (e, j) -> coalesce(element_at(named, j), -1L))")).drop("named"))
+        ranks = tables.cut(known.withColumn("r", F.expr("transform(s, (e, j) -> coalesce(element_at(named, j), -1L))")).drop("named"), count)
         tables.drop(pairs, named)
     windows = levels[0]
     for more in levels[1:]:
         windows = windows.unionByName(more)
-    windows = tables.cut(windows)
-    interval = tables.cut(windows.groupBy("m", "head", "tail").agg(F.min(_place()).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    windows = tables.cut(windows, 2 * count)
+    interval = tables.cut(windows.groupBy("m", "head", "tail").agg(F.min(_place()).alias("first"), F.count("*").alias("times")).where("times > 1"), 2 * count)
     members = skewed_join(windows, interval, ["m", "head", "tail"], "times").where(_place() > F.col("first"))
     later = later.unionByName(members.select(*own, "i", "lines", "first"))
     # windows with one shift to the first copy join to a run where they touch or overlap

@@ -40,6 +40,7 @@ SKETCHES = 32
 SAMPLE = 2
 THRESHOLD = 0.8
 BINS = 256
+PAIRS_PER_TASK = 4000
 RARITY_BINS = 1 << 16
 ALIGN_BLOCK = 4096
 FEW_PLACES = 64
@@ -182,21 +183,22 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(run, "tkey binary, n long, sk array<bigint>, seq binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tables) -> DataFrame:
-    """Those of pairs(u, v) that align at the threshold."""
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tables, rows: int | None = None) -> tuple[DataFrame, int]:
+    """Those of pairs(u, v) that align at the threshold, and how many were tried; rows: a bound of the pairs, if one is known."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) > 0 for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[ok, ["u", "v"]]
 
-    pairs = tables.cut(pairs)
+    pairs = tables.cut(pairs, rows)
+    tried = pairs.count()
     both = salted_join(pairs, nodes.select(F.col("node").alias("v"), F.col("seq").alias("y")), "v", "u")
     # the other end is a leader too in few pairs only
     both = both.join(nodes.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u")
-    out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"))
+    out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"), tried, PAIRS_PER_TASK)
     tables.drop(pairs)
-    return out
+    return out, tried
 
 
 def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataFrame:
@@ -225,11 +227,14 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
                 t = tokens(s)
                 found.append(t[np.lexsort((t, often[(t >> np.uint64(48)).astype(np.int64)]))[: prefix_length(len(t), threshold)]].view(np.int64))
             size = [len(f) for f in found]
+            if not found:
+                continue
             yield pd.DataFrame({"token": np.concatenate(found), **{c: np.repeat(b[c].to_numpy(), size) for c in ("node", "comp", "n")}})
 
     words = tables.cut(members.mapInPandas(prefixes, "token long, node long, comp long, n long"))
-    shared = tables.cut(words.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b").select("token", "times"))
-    words_shared = tables.cut(skewed_join(words, shared, ["token"], "times"))
+    rows = words.count()
+    shared = tables.cut(words.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b").select("token", "times"), rows)
+    words_shared = tables.cut(skewed_join(words, shared, ["token"], "times"), rows)
     tables.drop(words, shared)
     # a word's largest component meets the others, and those each other, but never itself
     major = words_shared.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
@@ -245,24 +250,25 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None =
     tables = tables or Tables(docs.sparkSession)
     nodes = _sketched(docs).groupBy("tkey").agg(F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("seq").alias("seq"))
     nodes = tables.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    count = nodes.count()
+    most = count * SKETCHES
     buckets = nodes.select("node", F.explode("sk").alias("h"))
-    lead = tables.cut(buckets.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("times")).where("times > 1"))
-    members = tables.cut(skewed_join(buckets, lead, ["h"], "times"))
+    lead = tables.cut(buckets.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("times")).where("times > 1"), most)
+    members = tables.cut(skewed_join(buckets, lead, ["h"], "times"), most)
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    linked = _verified(pairs, nodes, threshold, tables)
-    parts = components(linked, tables)
+    linked, tried = _verified(pairs, nodes, threshold, tables, most)
+    parts = components(linked, tables, tried)
     placed = members.select("h", "node").join(parts.select(F.col("u").alias("node"), F.col("v").alias("c_")), "node", "left").select("h", "node", F.coalesce("c_", "node").alias("comp"))
-    placed = tables.cut(placed)
+    placed = tables.cut(placed, most)
     tables.drop(members)
     # buckets of three and more whose members lie in several components
     mixed = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b AND times > 2").select("h", "times")
-    mixed = tables.cut(mixed)
-    loose = tables.cut(skewed_join(placed, mixed, ["h"], "times").select("node", "comp").distinct().join(nodes.select("node", "n", "seq"), "node"))
+    mixed = tables.cut(mixed, most)
+    loose = tables.cut(skewed_join(placed, mixed, ["h"], "times").select("node", "comp").distinct().join(nodes.select("node", "n", "seq"), "node"), count, PAIRS_PER_TASK)
     tables.drop(placed, mixed, lead)
-    if not loose.isEmpty():
-        more = _verified(_prefix_pairs(loose, threshold, tables), nodes, threshold, tables)
-        if not more.isEmpty():
-            parts = components(parts.unionByName(more), tables)
+    more, tried = _verified(_prefix_pairs(loose, threshold, tables), nodes, threshold, tables)
+    if tried:
+        parts = components(parts.unionByName(more), tables, count + tried)
     tables.drop(loose, linked)
     return nodes, parts
 
@@ -276,10 +282,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
     texts = rows.where("worded").groupBy("tkey").agg(F.min(least).alias("first"), F.count("*").alias("times"))
     named = nodes.select("tkey", "node").join(parts.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("tkey").alias("t_"), F.coalesce("v", "node").alias("comp"))
-    texts = tables.cut(texts.join(named, F.col("tkey") == F.col("t_")).drop("t_"))
+    count = rows.count()
+    texts = tables.cut(texts.join(named, F.col("tkey") == F.col("t_")).drop("t_"), count)
     tables.drop(nodes, parts)
-    classes = tables.cut(texts.groupBy("comp").agg(F.min("first").alias("head"), F.sum("times").alias("class_size"), F.count("*").alias("n_texts")))
-    of_text = tables.cut(skewed_join(texts.select("comp", "tkey", "times"), classes, ["comp"], "n_texts").select("tkey", "head", "class_size", "times"))
+    classes = tables.cut(texts.groupBy("comp").agg(F.min("first").alias("head"), F.sum("times").alias("class_size"), F.count("*").alias("n_texts")), count)
+    of_text = tables.cut(skewed_join(texts.select("comp", "tkey", "times"), classes, ["comp"], "n_texts").select("tkey", "head", "class_size", "times"), count)
     tables.drop(texts, classes)
     placed = skewed_join(rows.where("worded").drop("worded"), of_text, ["tkey"], "times")
     keep = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey"))
