@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.vectors import VectorStore
 from .score import BROADCAST_ROWS, DIGITS, small, top_k
 
 #: Vectors and queries that meet in one matrix product.
@@ -85,6 +86,21 @@ def resume(texts: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.join(done.select(key), key, "left_anti")
 
 
+def embed_corpus(corpus: DataFrame, encoder: Encoder, store: VectorStore, dim: int = 64, batch: int = 16, part: int | None = None) -> int:
+    """Embed the documents of corpus(doc_id, title, body) that store has no vector of yet, and seal it; the number of vectors.
+
+    Work that was cut off is taken up where it ended. part: at most so many documents, least ids first, for a run in portions.
+    """
+    texts = corpus.select("doc_id", document_text(F.col("title"), F.col("body")).alias("text"))
+    if store.started():
+        texts = resume(texts, store.load())
+    if part is not None:
+        texts = texts.orderBy("doc_id").limit(part)
+    store.append(embed(texts, encoder, "document", dim, batch))
+    store.seal()
+    return store.num_docs
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product in double precision of two unit vectors."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

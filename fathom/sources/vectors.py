@@ -28,12 +28,30 @@ class VectorStore:
             return False
         return True
 
+    def started(self) -> bool:
+        """Whether any vector was written, sealed or not."""
+        try:
+            return bool(self.load().columns)
+        except AnalysisException:
+            return False
+
     def write(self, vectors: DataFrame, force: bool = False) -> None:
         """Store vectors(doc_id, vec); vectors of different widths are an error."""
         if not force and self.exists():
             raise FileExistsError(self.path)
+        self._put(vectors, "overwrite")
+        self.seal()
+
+    def append(self, vectors: DataFrame) -> None:
+        """Add vectors of new ids; the store isn't whole again until it's sealed."""
+        self._put(vectors, "append")
+
+    def _put(self, vectors: DataFrame, mode: str) -> None:
         rows = vectors.select("doc_id", F.col("vec").cast("array<float>").alias("vec"), F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/vectors")
+        rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/vectors")
+
+    def seal(self) -> None:
+        """Check the widths and note size and width."""
         row = self.load().agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
         if row["lo"] != row["hi"]:
             raise ValueError(f"vectors of {row['lo']} to {row['hi']} numbers")

@@ -117,6 +117,32 @@ def test_dense(spark):
     assert x.shape == (3, 64) and np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-6)
 
 
+def test_embedding_a_corpus_in_portions(spark, harbour, tmp_path):
+    from fathom.sources.vectors import VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "v"))
+    assert dense.embed_corpus(harbour, dense.HashingEncoder(), store, 16, part=2) == 2
+    first = {r.doc_id: list(r.vec) for r in store.load().collect()}
+    assert dense.embed_corpus(harbour, dense.HashingEncoder(), store, 16) == 5 and store.dim == 16
+    assert {r.doc_id: list(r.vec) for r in store.get(list(first)).collect()} == first and dense.resume(harbour, store.load()).count() == 0
+
+
+def test_split_and_report_files(spark, tmp_path):
+    split = ltr_data.split_queries(spark.range(1, 21).withColumnRenamed("id", "qid"), 3)
+    trec.write_split(split, str(tmp_path / "s"), 3)
+    assert spark.read.parquet(str(tmp_path / "s" / "qids")).where("split = 'train'").count() == 16
+    assert '"train": 16' in spark.read.text(str(tmp_path / "s" / "split_meta")).first()[0]
+    trec.write_report(spark, {"b": 1, "a": 2}, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"a": 2, "b": 1}'
+
+
+def test_render(spark):
+    from fathom.functions.snippet import render
+
+    row = spark.range(1).select(render(F.lit(1), F.lit("Title"), F.lit("http://x"), F.lit(1.5), F.lit("text")).alias("r")).first()
+    assert row.r == "1. [Title](http://x) (score 1.50)\ntext"
+
+
 def test_expansion(spark):
     q = spark.createDataFrame([(1, "red apple")], "qid long, query string")
     enc = lambda ts: [[("apple", 2.0), ("fruit", 1.0), ("tree", 0.5), ("x", 0.001)] for _ in ts]
