@@ -13,7 +13,7 @@ Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucke
 all pairs); the links are verified. Members of buckets that then lie in several components may still be alike without being like the
 least node. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
 words, so under any order of all words it shares one among the first n - ceil(s * n) + 1 of each; with rare words first such meetings are few. Every pair across
-components that meets is verified. Nothing is capped, and no bucket is treated by its size.
+components that meets is verified, if its lengths and its counts of words by bin (``bins``) admit the threshold, which both hold for any pair that reaches it. Nothing is capped, and no bucket is treated by its size.
 
 Defined results: null texts and texts without a word are classes of their own row; rows equal in text are one
 class; class_id is the least doc_id of the class (null only where all ids are null, ties by text key); rows equal in id and text are both in their
@@ -106,6 +106,11 @@ def sketch(w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bins(words: np.ndarray) -> np.ndarray:
+    """Words of a text by their value's bin. As many words of two texts aren't aligned at least as their bins differ; clipped, they differ less, never more."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), np.iinfo(np.int8).max)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of two word sequences whose matches lie at |i - j| <= band.
 
@@ -161,7 +166,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     apart = (n + m) * (1 - threshold) / (1 + threshold) + 1e-9  # most words that aren't aligned, of both
     if abs(n - m) > apart:
         return 0.0
-    if np.abs(np.bincount(a % BINS, minlength=BINS) - np.bincount(b % BINS, minlength=BINS)).sum() > apart:
+    if np.abs(bins(a) - bins(b)).sum() > apart:
         return 0.0
     run = aligned(a, b, int(apart))
     s = run / (n + m - run)
@@ -216,6 +221,10 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
         at = np.flatnonzero(out)
         yield pd.DataFrame({"bin": at, "n": out[at]})
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            yield pd.DataFrame({"node": b["node"], "bins": [bins(np.frombuffer(s, np.uint32)).astype(np.int8) for s in b["seq"]]})
+
     often = np.zeros(RARITY_BINS, np.int64)
     for r in members.select("seq").mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # RARITY_BINS rows at most
         often[r["bin"]] = r["n"]
@@ -234,12 +243,15 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
     words = tables.cut(members.mapInPandas(prefixes, "token long, node long, comp long, n long"))
     rows = words.count()
     shared = tables.cut(words.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b").select("token", "times"), rows)
-    words_shared = tables.cut(skewed_join(words, shared, ["token"], "times"), rows)
+    words_shared = skewed_join(words, shared, ["token"], "times").join(members.mapInPandas(counted, "node long, bins array<tinyint>"), "node")
+    words_shared = tables.cut(words_shared, rows)
     tables.drop(words, shared)
     # a word's largest component meets the others, and those each other, but never itself
     major = words_shared.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    minor = words_shared.join(major, "token").where("comp != major").select("token", "major", F.col("node").alias("v"), F.col("comp").alias("d"), F.col("n").alias("m"))
-    meet = words_shared.join(minor, "token").where((F.col("comp") != F.col("d")) & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("v"))) & (F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    minor = words_shared.join(major, "token").where("comp != major").select("token", "major", F.col("node").alias("v"), F.col("comp").alias("d"), F.col("n").alias("m"), F.col("bins").alias("other"))
+    apart = F.expr("aggregate(zip_with(bins, other, (x, y) -> abs(CAST(x AS int) - y)), 0, (t, x) -> t + x)")
+    close = (F.least("n", "m") >= threshold * F.greatest("n", "m")) & (apart <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    meet = words_shared.join(minor, "token").where((F.col("comp") != F.col("d")) & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("v"))) & close)
     out = tables.cut(meet.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct())
     tables.drop(words_shared)
     return out
