@@ -9,9 +9,9 @@ Similarity. The words of two texts are aligned: the longest common subsequence w
 |i - j| <= (n + m) * (1 - s) / (1 + s), which holds the best alignment of any pair that reaches the threshold s. Similarity is aligned / (n + m - aligned),
 an ordered Jaccard similarity of words; links have at least ``THRESHOLD``. One word changed in ten is just a link.
 
-Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket, which links its members to its least node (a star, never
-all pairs); the links are verified. Members of buckets that then lie in several components may still be alike without being like the
-least node. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
+Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucket, which links its members to one of them (a star, never
+all pairs), the one that shares most buckets with others; the links are verified. Members of buckets that then lie in several components may still be alike without being like that
+one. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
 words, so under any order of all words it shares one among the first n - ceil(s * n) + 1 of each; with rare words first such meetings are few. Every pair across
 components that meets is verified, if its lengths and its counts of words by bin (``bins``) admit the threshold, which both hold for any pair that reaches it. Nothing is capped, and no bucket is treated by its size.
 
@@ -265,8 +265,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None =
     count = nodes.count()
     most = count * SKETCHES
     buckets = nodes.select("node", F.explode("sk").alias("h"))
-    lead = tables.cut(buckets.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("times")).where("times > 1"), most)
-    members = tables.cut(skewed_join(buckets, lead, ["h"], "times"), most)
+    shared = tables.cut(buckets.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").withColumn("size", F.col("times")), most)
+    held = tables.cut(skewed_join(buckets, shared, ["h"], "times"), most)
+    # a bucket's leader is its member that meets most others in all of its buckets: the text that copies were made from before any copy
+    degree = held.groupBy("node").agg(F.sum("size").alias("degree"))
+    lead = held.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("top"), F.count("*").alias("times")).select("h", (-F.col("top.least")).alias("lead"), "times")
+    lead = tables.cut(lead, most)
+    members = tables.cut(skewed_join(held.drop("size"), lead, ["h"], "times"), most)
+    tables.drop(shared, held)
     pairs = members.where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     linked, tried = _verified(pairs, nodes, threshold, tables, most)
     parts = components(linked, tables, tried)
