@@ -13,7 +13,8 @@ Candidates. Equal texts are one node. Nodes that agree in a sketch share a bucke
 all pairs), the one that shares most buckets with others; the links are verified. Members of buckets that then lie in several components may still be alike without being like that
 one. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
 words, so under any order of all words it shares one among the first n - ceil(s * n) + 1 of each; with rare words first such meetings are few. Every pair across
-components that meets is verified, if its lengths and its counts of words by bin (``bins``) admit the threshold, which both hold for any pair that reaches it. Nothing is capped, and no bucket is treated by its size.
+components that meets is verified, if its lengths, the words left from the first shared one on and the bins of its words (``marks``) admit the threshold, which all hold for any pair that reaches it.
+A pair that shares many words is taken at the first of them, which always stands: it is passed over where one of the ``RECENT`` words before, in that order, is shared too. Nothing is capped, and no bucket is treated by its size.
 
 Defined results: null texts and texts without a word are classes of their own row; rows equal in text are one
 class; class_id is the least doc_id of the class (null only where all ids are null, ties by text key); rows equal in id and text are both in their
@@ -24,7 +25,9 @@ Columns of docs other than doc_id and text are passed on whatever their names.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,8 @@ SKETCHES = 32
 SAMPLE = 2
 THRESHOLD = 0.8
 BINS = 256
+MARKS = 1024
+RECENT = 8
 PAIRS_PER_TASK = 4000
 RARITY_BINS = 1 << 16
 ALIGN_BLOCK = 4096
@@ -111,6 +116,11 @@ def bins(words: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(words % BINS, minlength=BINS), np.iinfo(np.int8).max)
 
 
+def marks(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each bin of labelled words, set if it holds an odd number of them. As many words of two texts aren't shared at least as bits differ."""
+    return np.packbits(np.bincount((tokens % np.uint64(MARKS)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of two word sequences whose matches lie at |i - j| <= band.
 
@@ -221,9 +231,9 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
         at = np.flatnonzero(out)
         yield pd.DataFrame({"bin": at, "n": out[at]})
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
-            yield pd.DataFrame({"node": b["node"], "bins": [bins(np.frombuffer(s, np.uint32)).astype(np.int8) for s in b["seq"]]})
+            yield pd.DataFrame({**{c: b[c] for c in ("node", "comp", "n")}, "marks": [marks(tokens(s)) for s in b["seq"]]})
 
     often = np.zeros(RARITY_BINS, np.int64)
     for r in members.select("seq").mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # RARITY_BINS rows at most
@@ -238,19 +248,28 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
             size = [len(f) for f in found]
             if not found:
                 continue
-            yield pd.DataFrame({"token": np.concatenate(found), **{c: np.repeat(b[c].to_numpy(), size) for c in ("node", "comp", "n")}})
+            yield pd.DataFrame({"token": np.concatenate(found), **{c: np.repeat(b[c].to_numpy(), size) for c in ("node", "comp")}, "at": np.concatenate([np.arange(k) for k in size])})
 
-    words = tables.cut(members.mapInPandas(prefixes, "token long, node long, comp long, n long"))
+    words = tables.cut(members.mapInPandas(prefixes, "token long, node long, comp long, at int"))
     rows = words.count()
     shared = tables.cut(words.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("times")).where("a != b").select("token", "times"), rows)
-    words_shared = skewed_join(words, shared, ["token"], "times").join(members.mapInPandas(counted, "node long, bins array<tinyint>"), "node")
-    words_shared = tables.cut(words_shared, rows)
+    own = skewed_join(words.select("token", "node", "at"), shared, ["token"], "times").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("own"))
+    own = own.join(members.mapInPandas(marked, "node long, comp long, n long, marks array<bigint>"), "node")
+    own = own.select("node", "comp", "n", "marks", "own", F.posexplode("own").alias("k", "w"))
+    recent = F.slice("own", F.greatest(F.col("k") - RECENT, F.lit(0)) + 1, F.least("k", F.lit(RECENT)))["token"]  # its shared words just before this one
+    words_shared = tables.cut(own.select("w.token", "node", "comp", "n", "w.at", "marks", recent.alias("recent")), rows)
     tables.drop(words, shared)
     # a word's largest component meets the others, and those each other, but never itself
     major = words_shared.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    minor = words_shared.join(major, "token").where("comp != major").select("token", "major", F.col("node").alias("v"), F.col("comp").alias("d"), F.col("n").alias("m"), F.col("bins").alias("other"))
-    apart = F.expr("aggregate(zip_with(bins, other, (x, y) -> abs(CAST(x AS int) - y)), 0, (t, x) -> t + x)")
-    close = (F.least("n", "m") >= threshold * F.greatest("n", "m")) & (apart <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    names = {"node": "v", "comp": "d", "n": "m", "at": "place", "marks": "other", "recent": "before"}
+    minor = words_shared.join(major, "token").where("comp != major").select("token", "major", *[F.col(c).alias(to) for c, to in names.items()])
+    both = F.col("n") + F.col("m")
+    alike = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    # no word before the first that both have is common to both: so many are left at most
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= both * (threshold / (1 + threshold)) - 1e-6
+    met = F.arrays_overlap("recent", "before")  # a pair that has met at one of these words, so not at its first
+    differ = reduce(operator.add, [F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("other")[i])) for i in range(MARKS // 64)])
+    close = alike & left & ~met & (differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
     meet = words_shared.join(minor, "token").where((F.col("comp") != F.col("d")) & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("v"))) & close)
     out = tables.cut(meet.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct())
     tables.drop(words_shared)

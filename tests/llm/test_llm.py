@@ -244,6 +244,41 @@ def test_prefix_filter_loses_nothing(spark):
     assert want and want <= met
 
 
+def rows_of_joins(plan):
+    """Rows that each join of an executed plan has made, largest first."""
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            if "Join" in kind and p.metrics().contains("numOutputRows"):
+                found.append(p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return sorted(found, reverse=True)
+
+
+def test_prefix_filter_meets_a_pair_once(spark):
+    """Near copies without a link share most of their words: a pair of them is a row or two of the joins, not one for each word."""
+    rng, rows, made = random.Random(8), [], []
+    base = words(rng, 200).split(" ")
+    for k in range(60):
+        t = [words(rng, 1) if rng.random() < 0.06 else w for w in base]
+        rows.append((k, k, len(t), bytearray(neardup.labelled([" ".join(t)])[0][0].tobytes())))
+
+    class Counting(common.Tables):
+        def cut(self, df, *args):
+            df.collect()
+            made.extend(rows_of_joins(df._jdf.queryExecution().executedPlan()))
+            return super().cut(df, *args)
+
+    pairs = neardup._prefix_pairs(spark.createDataFrame(rows, "node long, comp long, n long, seq binary"), 0.8, Counting(spark)).count()
+    assert pairs > 1000 and made and max(made) <= max(2 * pairs, 60 * 50)
+
+
 def test_neardup_edges(awkward, nothing):
     got = [(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicate_classes(awkward).collect()]
     assert Counter(got) == Counter([(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (None, None, 1), (5, 5, 2), (6, 5, 2), (7, 7, 2), (7, 7, 2), (8, 8, 1), (8, 8, 1), (9, 9, 1)])
