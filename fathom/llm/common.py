@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 #: Rows of a narrow table that one task writes.
 ROWS_PER_TASK = 100_000
+#: Rows that go to a Python worker at once while a table is written; texts in batches of Spark's 10,000 take tens of MB on either side.
+ROWS_PER_BATCH = 2000
 
 
 class Tables:
@@ -69,6 +72,7 @@ class Tables:
     """
 
     FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, {}
@@ -84,12 +88,14 @@ class Tables:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // per_task)))
         path, conf = f"{self.base}/{len(self.made)}", self.spark.conf
-        old = conf.get(self.FILES)
+        old = {k: conf.get(k) for k in (self.FILES, self.BATCH)}
         conf.set(self.FILES, "true")
+        conf.set(self.BATCH, str(ROWS_PER_BATCH))
         try:
             df.write.parquet(path)
         finally:
-            conf.set(self.FILES, old)
+            for k, v in old.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.made[path] = out
         return out
@@ -139,6 +145,39 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, spread: str) -> DataF
     return left.join(right, [key, part]).drop(part)
 
 
+#: What the operator that a Python worker serves keeps between tasks. Workers outlive stages, so another operator's first task drops it.
+kept: dict = {}
+
+
+def lean(owner: str, run: Callable) -> Callable:
+    """run, a function of batches, for a worker that then keeps nothing of other operators than owner, and gives back freed memory when the task ends."""
+
+    def leaner(batches: Iterator) -> Iterator:
+        _take(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return leaner
+
+
+def _take(owner: str) -> None:
+    """A function of its own: workers find it by name, and with it the one dict of their process; a closure would bring a copy."""
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept["owner"] = owner
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system; where the allocators can't, nothing happens."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """Batches cut into pieces of so many rows, to bound what is made of them at once."""
     for b in batches:

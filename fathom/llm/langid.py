@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, row_key, slices
+from .common import held_out, lean, row_key, slices, trim
 
 TRAIN_ROWS_PER_LANGUAGE = 500
 TRAIN_ROWS = 4000
@@ -157,18 +157,25 @@ def train(docs: DataFrame) -> Model:
         for b in slices(batches):
             c = [counts(t) for t in b["text"]]
             at = [np.flatnonzero(v) for v in c]
-            yield pd.DataFrame({"lang": b["lang"], "k": b["k"], "at": [i.astype(np.int32) for i in at], "n": [v[i].astype(np.int32) for v, i in zip(c, at, strict=True)]})
+            yield pd.DataFrame({"lang": b["lang"], "k": b["k"], "at": [i.astype(np.int32).tobytes() for i in at], "n": [v[i].astype(np.int32).tobytes() for v, i in zip(c, at, strict=True)]})
 
     # TRAIN_ROWS rows at most
-    got = sample(docs).mapInPandas(sparse, "lang string, k int, at array<int>, n array<int>").toPandas()
+    got = sample(docs).mapInPandas(lean("langid", sparse), "lang string, k int, at binary, n binary").toPandas()
     if not len(got):
         return Model([])
     got = got.sort_values(["lang", "k"])
     x = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
     for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
-        x[i, at] = np.sqrt(n)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return fit(x, got["lang"].tolist())
+        x[i, np.frombuffer(at, np.int32)] = np.sqrt(np.frombuffer(n, np.int32))
+    labels = got["lang"].tolist()
+    del got
+    for lo in range(0, len(x), 100):  # in parts, as lengths take as much again as the rows they are of
+        x[lo : lo + 100] /= np.maximum(np.linalg.norm(x[lo : lo + 100], axis=1, keepdims=True), 1e-9)
+    trim()
+    model = fit(x, labels)
+    del x
+    trim()
+    return model
 
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +187,7 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": langs, "score": scores, "ambiguous": close})
 
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInPandas(lean("langid", run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -209,4 +216,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                     b = b.set_column(lang, b.schema.field(lang), pa.array(filled, b.schema.field(lang).type))
                 yield b.filter(pa.array([p != UNDETERMINED and (not c or p == v) for p, c, v in zip(langs, close, own, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean("langid", run), docs.schema)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh_name, salted_join, skewed_join, slices, text_key
+from .common import Tables, fresh_name, lean, salted_join, skewed_join, slices, text_key
 from .components import components
 from .words import ascii_lower, byte_class, mix, windows, word_hashes
 
@@ -48,6 +48,7 @@ RECENT = 8
 PAIRS_PER_TASK = 4000
 RARITY_BINS = 1 << 16
 ALIGN_BLOCK = 4096
+ROWS_AT_ONCE = 250
 FEW_PLACES = 64
 
 _WORD = byte_class(b" \t\n\x0b\x0c\r")
@@ -191,11 +192,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
     """tkey, n, sk, seq (bytes of the words) of every row with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
+        for b in slices(batches, ROWS_AT_ONCE):
             words, seqs = labelled(b["text"].tolist())
             yield pd.DataFrame({"tkey": b["tkey"], "n": [len(s) for s in words], "sk": [sketch(s) for s in seqs], "seq": [s.tobytes() for s in words]})
 
-    return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(run, "tkey binary, n long, sk array<bigint>, seq binary")
+    return docs.where(F.rlike("text", F.lit(_HAS_WORD))).select(text_key().alias("tkey"), "text").mapInPandas(lean("neardup", run), "tkey binary, n long, sk array<bigint>, seq binary")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tables, rows: int | None = None) -> tuple[DataFrame, int]:
@@ -211,7 +212,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tabl
     both = salted_join(pairs, nodes.select(F.col("node").alias("v"), F.col("seq").alias("y")), "v", "u")
     # the other end is a leader too in few pairs only
     both = both.join(nodes.select(F.col("node").alias("u"), F.col("seq").alias("x")), "u")
-    out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(run, "u long, v long"), tried, PAIRS_PER_TASK)
+    out = tables.cut(both.select("u", "v", "x", "y").mapInPandas(lean("neardup", run), "u long, v long"), tried, PAIRS_PER_TASK)
     tables.drop(pairs)
     return out, tried
 

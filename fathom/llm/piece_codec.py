@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, slices
+from .common import Recent, kept, lean, slices
 
 MARK = "▁"
 CACHE_ENTRIES = 200_000  # twice as many at most
@@ -259,14 +259,12 @@ class PieceCodec:
         return ids.count(",") + 1, ids, decoded
 
 
-_codecs: dict[str | None, PieceCodec] = {}
-
-
 def codec(model_file: str | None) -> PieceCodec:
     """One codec a process; the public model's path is looked up where it is opened."""
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file or public_model())
-    return _codecs[model_file]
+    codecs = kept.setdefault("codecs", {})
+    if model_file not in codecs:
+        codecs[model_file] = PieceCodec(model_file or public_model())
+    return codecs[model_file]
 
 
 def encode_documents(docs: DataFrame, model_file: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -279,7 +277,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text: str =
             ids = [c.encode(t) for t in b["t"]]
             yield pd.DataFrame({doc_id: b["i"], "ids": ids, "decoded": [c.decode(x) for x in ids]})
 
-    return _narrow(docs, doc_id, text).mapInPandas(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, decoded string")
+    return _narrow(docs, doc_id, text).mapInPandas(lean("piece_codec", run), f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_file: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -295,7 +293,7 @@ def encode_digests(docs: DataFrame, model_file: str | None = None, text: str = "
             found = [(n, digest(ids), digest(decoded)) for n, ids, decoded in map(c.round_trip, b["t"])]
             yield pd.DataFrame({doc_id: b["i"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
 
-    return _narrow(docs, doc_id, text).mapInPandas(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _narrow(docs, doc_id, text).mapInPandas(lean("piece_codec", run), f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from fathom.llm import common, components, langid, licenses, linededup, mixing, neardup, pii, piece_codec, quality, spotsigs, toxicity
@@ -731,6 +732,27 @@ def _labels(spark, want):
 # --- the pipeline --------------------------------------------------------------------------------
 
 
+def test_workers_keep_one_operators_things(spark):
+    """A worker that has encoded drops the codec when it sketches next: workers outlive the stages that filled them."""
+    common.kept.clear()
+    encoder = common.lean("piece_codec", lambda batches: (bool(piece_codec.codec(None)) for _ in batches))
+    assert list(encoder([1, 2])) == [True, True] and common.kept["codecs"]
+    codecs = common.kept["codecs"]
+    assert list(encoder([1])) == [True] and common.kept["codecs"] is codecs
+    assert list(common.lean("neardup", iter)([1, 2])) == [1, 2] and "codecs" not in common.kept
+    # as a worker gets it
+    sent = cloudpickle.loads(cloudpickle.dumps(common.lean("piece_codec", iter)))
+    assert list(sent([1])) == [1] and common.kept["owner"] == "piece_codec"
+
+
+def test_tables_are_written_in_small_batches(spark):
+    tables = common.Tables(spark)
+    sizes = lambda batches: (b.iloc[:1].assign(id=len(b)) for b in batches)
+    before = spark.conf.get(common.Tables.BATCH)
+    got = tables.cut(spark.range(0, 9000, 1, 1).mapInPandas(sizes, "id long")).collect()
+    assert max(r.id for r in got) <= common.ROWS_PER_BATCH and spark.conf.get(common.Tables.BATCH) == before
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(20)
