@@ -62,9 +62,9 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame) -> DataFrame:
-    """sized(doc_id, source, size, u, ...) with source_size, target, whole (copies) and part_words, taken, starts."""
+    """sized(doc_id, source, size, u, ...) with row (a number of its own), source_size, n_source, target, start, whole (copies) and extra (words of the copy that is cut), taken."""
     tables = Tables(sized.sparkSession)
-    sized = tables.cut(sized)
+    sized = tables.cut(sized.withColumn("row", F.monotonically_increasing_id()))
     count, digits = sized.count(), 1
     while digits < MOST_HEX and count > BUCKET_ROWS * 16**digits:
         digits += 1
@@ -84,11 +84,27 @@ def plan_mix(sized: DataFrame) -> DataFrame:
     return at.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra")).drop("g", "ahead", "u")
 
 
+def training_copies(at: DataFrame) -> DataFrame:
+    """row, n_source, doc_id, c, t, words of every copy that the plan takes, range-sorted by training time t; the last one may be cut."""
+    n = (F.col("whole") * F.when(F.col("size") > 0, 1).otherwise(0) + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
+    words = lambda c: F.when(c <= F.col("whole"), F.col("size")).otherwise(F.col("extra"))
+    copies = F.transform(F.sequence(F.lit(1), n), lambda c: F.struct(c.alias("c"), _time(F.col("start") + (c - 1) * F.col("source_size")).alias("t"), words(c).alias("words")))
+    made = at.where(n > 0).select("row", "n_source", "doc_id", F.explode(copies).alias("x")).select("row", "n_source", "doc_id", "x.c", "x.t", "x.words")
+    return made.orderBy("t", "n_source", "doc_id", "c")
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_copies (the last one may be cut), and the times of the first and the last copy (null if none is taken)."""
-    at = plan_mix(_sized(docs, [])).withColumn("n_copies", F.col("whole") * F.when(F.col("size") > 0, 1).otherwise(0) + F.when(F.col("extra") > 0, 1).otherwise(0))
-    time = lambda start: F.when(F.col("taken") > 0, F.round(_time(start), 9) + F.lit(0.0))
-    return at.select("doc_id", "size", "source_size", "target", "taken", F.col("n_copies").cast("long").alias("n_copies"), time(F.col("start")).alias("first_time"), time(F.col("start") + (F.col("n_copies") - 1) * F.col("source_size")).alias("last_time"))
+    """doc_id, size, source_size, target, taken, n_copies (the last one may be cut), and the times of the first and the last copy (null if none is taken).
+
+    What is taken of a row is read off its copies in the sorted mix.
+    """
+    tables = Tables(docs.sparkSession)
+    at = tables.cut(plan_mix(_sized(docs, [])))
+    mix = tables.cut(training_copies(at))
+    time = lambda t: F.round(t, 9) + F.lit(0.0)
+    per = mix.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("n_copies"), time(F.min("t")).alias("first_time"), time(F.max("t")).alias("last_time"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return at.drop("taken").join(per, "row", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("n_copies"), "first_time", "last_time")
 
 
 def _time(q):

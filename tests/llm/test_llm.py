@@ -593,6 +593,23 @@ def test_mix(spark, awkward, nothing):
     assert mixing.mix_digest(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mix_digest_is_read_off_the_sorted_copies(spark, monkeypatch):
+    rng, seen = random.Random(12), []
+    docs = spark.createDataFrame([(i, words(rng, rng.randint(0, 30)), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(200)], SCHEMA)
+    sort = mixing.training_copies
+    monkeypatch.setattr(mixing, "training_copies", lambda at: seen.append(sort(at)) or seen[0])
+    got = {r.doc_id: r for r in mixing.mix_digest(docs).collect()}
+    copies = seen[0].collect()
+    order = [(r.t, r.n_source, r.doc_id, r.c) for r in copies]
+    assert len(got) == 200 and order == sorted(order) and 0 <= order[0][0] and order[-1][0] <= 1
+    taken, number = Counter(), Counter()
+    for r in copies:
+        taken[r.doc_id] += r.words
+        number[r.doc_id] += 1
+        assert 0 < r.words <= got[r.doc_id].size
+    assert all((r.taken, r.n_copies) == (taken[i], number[i]) for i, r in got.items()) and max(number.values()) > 1
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
