@@ -14,7 +14,8 @@ all pairs), the one that shares most buckets with others; the links are verified
 one. They meet by a prefix filter, which is exact: a pair that reaches the threshold shares at least ceil(s * n) labelled
 words, so under any order of all words it shares one among the first n - ceil(s * n) + 1 of each; with rare words first such meetings are few. Every pair across
 components that meets is verified, if its lengths, the words left from the first shared one on and the bins of its words (``marks``) admit the threshold, which all hold for any pair that reaches it.
-A pair that shares many words is taken at the first of them, which always stands: it is passed over where one of the ``RECENT`` words before, in that order, is shared too. Nothing is capped, and no bucket is treated by its size.
+A pair that shares many words is taken at the first of them, which always stands: it is passed over where one of the ``RECENT`` words before, in that order, is shared too. Bins of a fixed number
+are all full in long texts, so pairs of those are held against each other once more by bins that grow with their words, before their texts are fetched. Nothing is capped, and no bucket is treated by its size.
 
 Defined results: null texts and texts without a word are classes of their own row; rows equal in text are one
 class; class_id is the least doc_id of the class (null only where all ids are null, ties by text key); rows equal in id and text are both in their
@@ -117,9 +118,14 @@ def bins(words: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(words % BINS, minlength=BINS), np.iinfo(np.int8).max)
 
 
-def marks(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each bin of labelled words, set if it holds an odd number of them. As many words of two texts aren't shared at least as bits differ."""
-    return np.packbits(np.bincount((tokens % np.uint64(MARKS)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).view(np.int64)
+def marks(tokens: np.ndarray, size: int = MARKS) -> np.ndarray:
+    """A bit for each of size bins of labelled words, set if it holds an odd number of them. As many words of two texts aren't shared at least as bits differ."""
+    return np.packbits(np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64)
+
+
+def marks_size(n: int) -> int:
+    """Bins for a text of n words: a power of two, at least two a word. Those of texts that may be alike are equal or double."""
+    return max(MARKS, 1 << (2 * n - 1).bit_length())
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -217,13 +223,36 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, tables: Tabl
     return out, tried
 
 
+def tokens(seq: bytes) -> np.ndarray:
+    """The labelled words of a text, as unique 64-bit values."""
+    with np.errstate(over="ignore"):
+        return occurrences(mix(np.frombuffer(seq, np.uint32).astype(np.uint64) + np.uint64(1)))
+
+
+def _close_by_marks(pairs: DataFrame, members: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """u, v of those pairs(u, v) whose words, by marks of a size that fits them, admit the threshold; members(node, n, seq) are the texts that they may be of."""
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            yield pd.DataFrame({"node": b["node"], "n": b["n"], "marks": [marks(tokens(s), marks_size(n)) for s, n in zip(b["seq"], b["n"], strict=True)]})
+
+    def halved(c: str, other: str) -> Column:
+        """c, brought to half its size where the other's is less: bins that fall together by the lesser size."""
+        half = F.size(other)
+        return F.when(F.size(c) > half, F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(c))
+
+    wide = tables.cut(members.select("node", "n", "seq").mapInPandas(lean("neardup", sized), "node long, n long, marks array<bigint>"))
+    both = salted_join(pairs, wide.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("marks").alias("y")), "v", "u")
+    both = both.join(wide.select(F.col("node").alias("u"), "n", F.col("marks").alias("x")), "u")
+    differ = F.aggregate(F.zip_with(halved("x", "y"), halved("y", "x"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, k: s + k)
+    out = tables.cut(both.where(differ <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("u", "v"))
+    tables.drop(wide)
+    return out
+
+
 def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataFrame:
     """u, v of members(node, comp, n, seq) in different components that may reach the threshold: they share a word of their prefixes, rare words first."""
 
-    def tokens(seq: bytes) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return occurrences(mix(np.frombuffer(seq, np.uint32).astype(np.uint64) + np.uint64(1)))
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(RARITY_BINS, np.int64)
         for b in batches:
@@ -268,13 +297,17 @@ def _prefix_pairs(members: DataFrame, threshold: float, tables: Tables) -> DataF
     alike = F.least("n", "m") >= threshold * F.greatest("n", "m")
     # no word before the first that both have is common to both: so many are left at most
     left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= both * (threshold / (1 + threshold)) - 1e-6
-    met = F.arrays_overlap("recent", "before")  # a pair that has met at one of these words, so not at its first
+    before = F.arrays_overlap("recent", "before")  # a pair that has met at one of these words, so not at its first
     differ = reduce(operator.add, [F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("other")[i])) for i in range(MARKS // 64)])
-    close = alike & left & ~met & (differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    close = alike & left & ~before & (differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    most = MARKS // 2  # words of a text that marks_size gives MARKS bins
     meet = words_shared.join(minor, "token").where((F.col("comp") != F.col("d")) & ((F.col("comp") == F.col("major")) | (F.col("node") < F.col("v"))) & close)
-    out = tables.cut(meet.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct())
+    met = tables.cut(meet.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), (F.greatest("n", "m") > most).alias("long")).distinct())
     tables.drop(words_shared)
-    return out
+    pairs, long = met.where("NOT long").select("u", "v"), met.where("long").select("u", "v")
+    if long.isEmpty():
+        return pairs
+    return pairs.unionByName(_close_by_marks(long, members.where(F.col("n") >= threshold * most), threshold, tables))
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +337,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tables: Tables | None =
     mixed = tables.cut(mixed, most)
     loose = tables.cut(skewed_join(placed, mixed, ["h"], "times").select("node", "comp").distinct().join(nodes.select("node", "n", "seq"), "node"), count, PAIRS_PER_TASK)
     tables.drop(placed, mixed, lead)
-    more, tried = _verified(_prefix_pairs(loose, threshold, tables), nodes, threshold, tables)
+    more, tried = _verified(_prefix_pairs(loose, threshold, tables), loose, threshold, tables)
     if tried:
         parts = components(parts.unionByName(more), tables, count + tried)
     tables.drop(loose, linked)

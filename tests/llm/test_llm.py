@@ -280,6 +280,38 @@ def test_prefix_filter_meets_a_pair_once(spark):
     assert pairs > 1000 and made and max(made) <= max(2 * pairs, 60 * 50)
 
 
+def test_marks_that_grow_with_the_text():
+    """Bits differ by no more than words do, also where one text's bins are folded to half as many; a pair's sizes are equal or double."""
+    rng = np.random.default_rng(4)
+    for n in (400, 512, 513, 900, 1024, 1025, 3000):
+        for m in {n, n * 9 // 10, -(-n * 4 // 5)}:
+            a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            b = np.concatenate([a[: m * 9 // 10], rng.integers(0, 1 << 62, m - m * 9 // 10, dtype=np.uint64)])
+            big, less = neardup.marks_size(n), neardup.marks_size(m)
+            assert big in (less, 2 * less) and big >= 2 * n
+            x, y = neardup.marks(a, big), neardup.marks(b, less)
+            x = x if len(x) == len(y) else x[: len(y)] ^ x[len(y) :]
+            assert (x == neardup.marks(a, less)).all() and int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_long_texts_that_share_a_rare_word_are_not_paired(spark):
+    """Long unlike texts of one vocabulary all meet at some word; only pairs that are near, or nearly, are left to verify, those of two sizes of marks among them."""
+    rng, rows = np.random.default_rng(6), []
+    add = lambda t: rows.append((len(rows), len(rows), len(t), bytearray(np.asarray(t, np.uint32).tobytes())))
+    for n in (1000, 2000, 3000, 4000):
+        for _ in range(12):
+            add(rng.integers(0, 6000, n))
+    base = rng.integers(0, 6000, 1000)
+    add(base)
+    add(np.concatenate([base, rng.integers(0, 6000, 60)]))
+    add(np.where(rng.random(1000) < 0.05, rng.integers(0, 6000, 1000), base))
+    members = spark.createDataFrame(rows, "node long, comp long, n long, seq binary")
+    met = [(r.u, r.v) for r in neardup._prefix_pairs(members, 0.8, common.Tables(spark)).collect()]
+    texts = [np.frombuffer(bytes(r[3]), np.uint32) for r in rows]
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if rows[i][2] >= 0.8 * rows[j][2] and neardup.similarity(texts[i], texts[j]) > 0}
+    assert {(48, 49), (48, 50), (49, 50)} == want and want <= set(met) and len(met) == len(set(met)) <= 5
+
+
 def test_neardup_edges(awkward, nothing):
     got = [(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicate_classes(awkward).collect()]
     assert Counter(got) == Counter([(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (None, None, 1), (5, 5, 2), (6, 5, 2), (7, 7, 2), (7, 7, 2), (8, 8, 1), (8, 8, 1), (9, 9, 1)])
