@@ -78,6 +78,29 @@ def test_many_terms_meet_the_postings_in_a_join(spark, harbour, monkeypatch):
     assert sorted(search(asked, index, CFG).collect()) == one
 
 
+@pytest.mark.parametrize(("ids", "ranker"), [("long", "bm25"), ("string", "tfidf")])
+def test_many_queries_by_blocks(spark, monkeypatch, tmp_path, ids, ranker):
+    """Blocks of postings and of queries give the same rows as the join: with ties at the cut, weights of zero and less, equal and empty queries, saved or not."""
+    from fathom.operators import batch, score
+
+    n = F.col("id")
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64(n, F.lit(k)), F.lit(4 + k)).cast("string"))
+    docs = spark.range(90).select(n.cast(ids).alias("doc_id"), F.concat_ws(" ", word(1), word(2)).alias("title"), F.concat_ws(" ", F.lit("every"), *[word(k) for k in (3, 5, 9)], word(20)).alias("body"))
+    index = Index.build(docs, ("title", "body"))
+    asked = ask(spark, "every w1", "w3 w2 w2", "w2 w3 w2", "w7", "", "of", "w11 every every w0 w5", "w1 every", "nowhere")
+    cfg = SearchConfig(num_docs=90, postings_cut=200, fields={"title": FieldConfig(2.0, 2), "body": FieldConfig(1.0, 5)})
+    one = {k: sorted(search(asked, index, cfg, k, ranker).collect()) for k in (3, 1000)}
+    monkeypatch.setattr(score, "FEW_TERMS", 1)
+    monkeypatch.setattr(score, "scores", None)  # no row for every pair that shares a term
+    monkeypatch.setattr(batch, "BLOCK_POSTINGS", 250)
+    monkeypatch.setattr(batch, "PIECE_POSTINGS", 40)
+    monkeypatch.setattr(batch, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(batch, "TERMS_AT_ONCE", 30)
+    index.save(str(tmp_path / "i"))
+    for at, (k, want) in zip((index, Index.load(spark, str(tmp_path / "i"))), one.items(), strict=True):
+        assert sorted(search(asked, at, cfg, k, ranker).collect()) == want
+
+
 def test_index_round_trip(spark, harbour, tmp_path):
     index = Index.build(harbour, ("title", "body"), positions=True)
     path = str(tmp_path / "ix")
