@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from fathom.config import AnalyzerConfig, FieldConfig, SearchConfig
 from fathom.functions.analyze import ascii_fold, number_normalize, stem, tokens
 from fathom.functions.snippet import highlight, snippets
-from fathom.operators.score import get_ranker, hydrate, search
+from fathom.operators.score import get_ranker, hydrate, scores, scores_of, search
 from fathom.plans import boolean
 from fathom.plans.index import Index
 from fathom.sources.corpus import read_corpus
@@ -101,6 +101,59 @@ def test_many_queries_by_blocks(spark, monkeypatch, tmp_path, ids, ranker):
         assert sorted(search(asked, at, cfg, k, ranker).collect()) == want
 
 
+def test_blocks_of_queries_are_ranked_by_a_task_each(spark, monkeypatch):
+    from fathom.operators import score
+
+    docs = spark.createDataFrame([(i, f"all w{i % 7} v{i % 5}") for i in range(60)], "doc_id long, body string")
+    monkeypatch.setattr(score, "FEW_TERMS", 1)
+    got = search(ask(spark, *[f"all w{i}" for i in range(7)], *[f"v{i}" for i in range(5)]), Index.build(docs), CFG, 3)
+    assert len([f for f in got.inputFiles() if f.endswith(".parquet")]) == 4 and got.count() == 36
+
+
+def test_packed_postings_are_small():
+    import numpy as np
+    import pyarrow as pa
+
+    from fathom.operators import batch
+
+    rng = np.random.default_rng(1)
+    for docs, most, width in ((2000, 3, 2), (1 << 17, 4, 4)):
+        lid = np.repeat(np.arange(50), 1000)
+        d = np.concatenate([rng.choice(docs, 1000, replace=False) for _ in range(50)]).astype(np.int32)
+        w = rng.choice(20, len(d)) * 70_001 + 1
+        packed = batch._row(0, pa.array(range(docs)), lid, d, w)
+        got = {c: packed.column(c)[0].as_buffer() for c in ("lids", "starts", "d", "w")}
+        assert sum(b.size for b in got.values()) < most * len(d)
+        opened = batch._opened(got["d"], len(d))
+        order = np.lexsort((d, lid))
+        assert opened.itemsize == width and (opened == d[order]).all() and (batch._opened(got["w"], len(d)) == w[order]).all()
+        assert (batch._opened(got["lids"]) == np.arange(50)).all() and (batch._opened(got["starts"]) == np.arange(51) * 1000).all()
+
+
+@pytest.mark.parametrize("ranker", ["bm25", "tfidf"])
+def test_scores_of_pairs(spark, harbour, ranker):
+    asked, index = ask(spark, "tide lock tide", "bay walk", "of", "green lamps gate"), Index.build(harbour, ("title", "body"))
+    pairs = asked.select("qid").crossJoin(harbour.select("doc_id")).where("doc_id != 'h1' OR qid > 0").withColumn("near", F.lit(1))
+    want = {(r.qid, r.doc_id): r.score for r in scores(asked, index, CFG, ranker).collect()}
+    got = scores_of(pairs, asked, index, CFG, ranker)
+    assert {(r.qid, r.doc_id): r.score for r in got.collect()} == {(r.qid, r.doc_id): want.get((r.qid, r.doc_id)) for r in pairs.collect()}
+    index.doc_terms = None
+    assert sorted(map(str, scores_of(pairs, asked, index, CFG, ranker).select(got.columns).collect())) == sorted(map(str, got.collect()))
+
+
+def test_postings_are_saved_in_rounds(spark, harbour, tmp_path, monkeypatch):
+    from fathom.plans import index as plans
+
+    monkeypatch.setattr(plans, "ROUND_TOKENS", 20, raising=False)
+    built = Index.build(harbour, ("title", "body"), positions=True)
+    built.save(str(tmp_path / "ix"))
+    built.save(str(tmp_path / "ix"), force=True)
+    again = Index.load(spark, str(tmp_path / "ix"))
+    assert len({f.name.split("-", 2)[2] for f in (tmp_path / "ix/postings").rglob("*.parquet")}) > 1  # a name for each write
+    assert sorted(again.postings.drop("bucket").collect()) == sorted(built.postings.collect())
+    assert sorted(again.doc_stats.collect()) == sorted(built.doc_stats.collect()) and sorted(again.term_stats.collect()) == sorted(built.term_stats.collect())
+
+
 def test_index_round_trip(spark, harbour, tmp_path):
     index = Index.build(harbour, ("title", "body"), positions=True)
     path = str(tmp_path / "ix")
