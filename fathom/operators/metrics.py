@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .score import DIGITS
+from .score import DIGITS, NARROW_ROWS, small
 
 RECALL_AT = (10, 50, 100, 500, 1000)
 
@@ -13,7 +13,7 @@ RECALL_AT = (10, 50, 100, 500, 1000)
 def with_hits(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """ranked(qid, doc_id, rank) with hit: whether the document is relevant to the query."""
     rel = qrels.where("rel > 0").select("qid", F.col("docid").alias("doc_id"), F.lit(True).alias("hit")).distinct()
-    return ranked.join(rel, ["qid", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return ranked.join(small(rel, NARROW_ROWS), ["qid", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
@@ -51,18 +51,12 @@ def containing(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFram
     long, short = keyed.where("key != ''"), keyed.where("key = ''").drop("key")
     starts = F.expr(f"transform(regexp_extract_all(text, '(?<=\\\\s)(?=(\\\\S+(?:\\\\s+\\\\S+){{{words - 1}}})\\\\s)', 1), x -> xxhash64(x))")
     hashed = docs.select("doc_id", "text", F.explode(F.array_distinct(starts)).alias("h"))
-    found = hashed.join(_few(long.withColumn("h", F.xxhash64("key"))), "h").where(F.contains("text", "passage")).select("qid", "doc_id")
+    found = hashed.join(small(long.withColumn("h", F.xxhash64("key"))), "h").where(F.contains("text", "passage")).select("qid", "doc_id")
     if not short.isEmpty():
-        found = found.unionByName(docs.join(_few(short), F.contains("text", "passage")).select("qid", "doc_id"))
+        found = found.unionByName(docs.join(small(short), F.contains("text", "passage")).select("qid", "doc_id"))
     return found.distinct()
 
 
-def _few(df: DataFrame) -> DataFrame:
-    from .score import small
-
-    return small(df)
-
-
 def evaluate(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """queries_evaluated, mrr, ndcg in one row; means over nothing are 0."""
     p = per_query(ranked, qrels, k)
