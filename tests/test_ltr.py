@@ -187,6 +187,30 @@ def test_model_and_lists_on_disk(spark, tmp_path):
     assert sum(1 for _ in ltr_data.lists_of(back)) == 9
 
 
+def test_documents_are_scored_without_a_call_for_each_query(spark):
+    rng = np.random.default_rng(3)
+    rows = [(q, d, d + 1, float(rng.integers(4)), float(rng.random())) for q in range(9) for d in range(12)]
+    featured = spark.createDataFrame(rows, "qid long, docid long, rank int, f double, g double")
+    m = ltr_model.Model(np.zeros(2), np.ones(2), [(rng.normal(size=(2, 3)), np.zeros(3)), (np.ones((3, 1)), np.zeros(1))])
+    again = ltr_model.rerank(featured.withColumn("g", F.lit(0.0)), m, ("f", "g"), 5, 4)
+    assert "FlatMapGroupsInPandas" not in again._jdf.queryExecution().toString()
+    want = []
+    for q in range(9):
+        x = np.array([[r[3], 0.0] for r in rows if r[0] == q])
+        want += [(q, i + 1, int(d)) for i, d in enumerate(np.lexsort((np.arange(12), -m.forward(x[None])[0].round(9)))[:4])]
+    assert sorted((r.qid, r["rank"], r.docid) for r in again.collect()) == want
+
+
+def test_candidates_meet_labels_and_queries_unshuffled(spark, harbour):
+    q = spark.createDataFrame([(1, "bay tide walk")], "qid long, query string")
+    cands = harbour.select(F.lit(1).cast("long").alias("qid"), F.col("doc_id").alias("docid"), F.lit(0.5).alias("bm25"), F.lit(1).alias("rank"))
+    qrels = spark.createDataFrame([(1, "h1", 1)], "qid long, docid string, rel int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan(ltr_data.labelled(cands, qrels)) and "rightHint=(strategy=broadcast)" in plan(ltr_data.hard_pool(cands, qrels))
+    assert "rightHint=(strategy=broadcast)" in plan(metrics.with_hits(cands.withColumnRenamed("docid", "doc_id"), qrels))
+    assert "rightHint=(strategy=broadcast)" in plan(ltr_data.features(cands, q, harbour, Index.build(harbour, ("title", "body")), CFG))
+
+
 def test_rerank(spark):
     rows = spark.createDataFrame([(1, "D1", 1, 0.1), (1, "D2", 2, 0.9)], "qid long, docid string, rank int, f double")
     m = ltr_model.Model(np.zeros(1), np.ones(1), [(np.ones((1, 1)), np.zeros(1))])
