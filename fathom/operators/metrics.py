@@ -16,6 +16,17 @@ def with_hits(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranked.join(small(rel, NARROW_ROWS), ["qid", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def relevant(qrels: DataFrame) -> DataFrame:
+    """qid, rel: each query's relevant documents, to go along with it through the ranking."""
+    return qrels.where("rel > 0").groupBy("qid").agg(F.collect_set("docid").alias("rel"))
+
+
+def ranks_of(lists: DataFrame) -> DataFrame:
+    """qid, n_rel, ranks of lists(qid, rel, docs): how many documents are relevant, null without a judgement, and the ranks of those in the list, in order."""
+    at = F.transform("rel", lambda d: F.array_position("docs", d))
+    return lists.select("qid", F.when(F.col("rel").isNotNull(), F.size("rel")).alias("n_rel"), F.array_sort(F.filter(at, lambda r: r > 0)).alias("ranks"))
+
+
 def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """qid, mrr, ndcg of the queries that have both a ranking and a relevant document.
 
@@ -96,6 +107,14 @@ def funnel_warnings(row: DataFrame, least: float = 0.5) -> list[str]:
 
 def recall_curve(ranked: DataFrame, qrels: DataFrame, topn: int = 200) -> DataFrame:
     """n, recall: share of queries with a relevant document among the first n."""
+    return _curve(with_hits(ranked, qrels).groupBy("qid").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first")), topn)
+
+
+def recall_of(ranks: DataFrame, topn: int = 200) -> DataFrame:
+    """As recall_curve, of the rows of ranks_of."""
+    return _curve(ranks.select(F.array_min("ranks").alias("first")), topn)
+
+
+def _curve(by: DataFrame, topn: int) -> DataFrame:
     at = sorted({*RECALL_AT, topn})
-    by = with_hits(ranked, qrels).groupBy("qid").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
     return by.select(F.explode(F.array(*map(F.lit, at))).alias("n"), "first").groupBy("n").agg(F.round(F.avg(F.coalesce((F.col("first") <= F.col("n")).cast("double"), F.lit(0.0))), DIGITS).alias("recall"))

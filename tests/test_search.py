@@ -110,6 +110,25 @@ def test_blocks_of_queries_are_ranked_by_a_task_each(spark, monkeypatch):
     assert len([f for f in got.inputFiles() if f.endswith(".parquet")]) == 4 and got.count() == 36
 
 
+@pytest.mark.parametrize("few", [1, 500])
+def test_lists_are_not_written_whole(spark, monkeypatch, few):
+    """Judgements go along with the queries, and what is made of each list is written instead of it."""
+    from fathom.operators import metrics, score
+
+    docs = spark.createDataFrame([(i, f"all w{i % 7} v{i % 5}") for i in range(60)], "doc_id long, body string")
+    index, asked = Index.build(docs), ask(spark, "all w1", "v2 w3", "all w1", "nowhere", "v1 all")
+    qrels = spark.createDataFrame([(0, 36, 1), (0, 50, 1), (0, 50, 2), (0, 1, 0), (0, 999, 1), (1, 17, 1), (2, None, 1), (3, 5, 1), (None, 1, 1)], "qid long, docid long, rel int")
+    rows = search(asked, index, CFG, 40)
+    want = {q: sorted(r["rank"] for r in rows.collect() if r.qid == q and r.doc_id in rel) for q, rel in {0: (36, 50), 1: (17,), 2: (), 4: ()}.items()}
+    monkeypatch.setattr(score, "FEW_TERMS", few)
+    made = search(asked, index, CFG, 40, along=metrics.relevant(qrels), then=metrics.ranks_of)
+    got = {r.qid: (r.n_rel, r.ranks) for r in made.collect()}
+    assert {q: r or [] for q, (_, r) in got.items()} == want and want[0] and want[1] and {q: n for q, (n, _) in got.items()} == {0: 3, 1: 1, 2: 0, 4: None}
+    assert few > 1 or spark.read.parquet(*made.inputFiles()).columns == ["qid", "n_rel", "ranks"]
+    assert sorted(metrics.recall_of(made, 3).collect()) == sorted(metrics.recall_curve(rows, qrels, 3).collect())
+    assert search(asked, index, CFG, 0, along=metrics.relevant(qrels), then=metrics.ranks_of).count() == 0
+
+
 def test_packed_postings_are_small():
     import numpy as np
     import pyarrow as pa
