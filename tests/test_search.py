@@ -110,6 +110,20 @@ def test_blocks_of_queries_are_ranked_by_a_task_each(spark, monkeypatch):
     assert len([f for f in got.inputFiles() if f.endswith(".parquet")]) == 4 and got.count() == 36
 
 
+def test_blocks_are_shuffled_a_part_at_a_time(spark, monkeypatch):
+    from fathom.operators import batch, score
+
+    docs = spark.createDataFrame([(i, f"all w{i % 7} v{i % 5}") for i in range(60)] + [(None, "all w1")], "doc_id long, body string")
+    index, asked = Index.build(docs), ask(spark, "all w1", "v2 w3", "w5 w2 v1 v4 v0")
+    monkeypatch.setattr(score, "FEW_TERMS", 1)
+    want, cut, tables = sorted(search(asked, index, CFG, 30).collect(), key=str), batch.Scratch.cut, []
+    monkeypatch.setattr(batch.Scratch, "cut", lambda self, df, **k: (tables.append({r.blk for r in df.select("blk").collect()}) if "blk" in df.columns else None, cut(self, df, **k))[1])
+    monkeypatch.setattr(batch, "BLOCK_POSTINGS", 14)
+    monkeypatch.setattr(batch, "ROUND_BLOCKS", 2)
+    assert sorted(search(asked, index, CFG, 30).collect(), key=str) == want
+    assert len(tables) > 1 and len(set().union(*tables)) == sum(map(len, tables)) > 4
+
+
 @pytest.mark.parametrize("few", [1, 500])
 def test_lists_are_not_written_whole(spark, monkeypatch, few):
     """Judgements go along with the queries, and what is made of each list is written instead of it."""
