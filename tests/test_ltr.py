@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fathom.config import FEATURES, FieldConfig, LtrConfig, SearchConfig
 from fathom.operators import dense, ltr_data, ltr_model, metrics
 from fathom.operators.expand import encode, expand, pool
+from fathom.operators.score import listed
 from fathom.plans.index import Index
 from fathom.sources import trec
 
@@ -98,6 +99,23 @@ def test_metrics(spark):
     assert len(metrics.funnel_warnings(f, 0.6)) == 1 and metrics.funnel_warnings(f, 0.4) == []
 
 
+@pytest.fixture(scope="module")
+def lists(spark):
+    """(candidates, judgements, candidates as rows, the same as a row a query)"""
+    rows = [(q, d, 9.0 - r / 2, r) for q, docs in {1: "xaybz", 2: "zm", 3: "a", 5: "cd"}.items() for r, d in enumerate(docs, 1)]
+    c = spark.createDataFrame(rows, "qid long, docid string, bm25 double, rank int")
+    qrels = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (1, "b", 2), (1, "gone", 1), (2, "m", 0), (3, "a", 1), (4, "q", 1), (5, "gone", 1), (5, None, 1)], "qid long, docid string, rel int")
+    ranked = c.select("qid", "rank", F.col("docid").alias("doc_id"), F.col("bm25").alias("score"))
+    return c, qrels, ranked, listed(ranked, metrics.relevant(qrels)).persist()
+
+
+def test_pairs_of_lists(lists):
+    c, qrels, _, at = lists
+    pairs = ltr_data.pairs_of(ltr_data.pools_of(at), 5)
+    assert sorted(pairs.collect()) == sorted(ltr_data.pair_samples(c, qrels, 5).collect()) and pairs.count() == 10
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]  # nothing of a list is shuffled
+
+
 def test_passages_in_documents(spark):
     docs = [(1, "x one two three four five six y"), (2, "ne two three four five si"), (3, "a  b"), (4, "one two three four five six"), (5, None)]
     passages = [(1, "one two three four five six"), (2, "a  b"), (3, "two three four"), (4, "absent words that nobody ever wrote")]
