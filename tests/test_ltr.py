@@ -116,6 +116,15 @@ def test_pairs_of_lists(lists):
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]  # nothing of a list is shuffled
 
 
+def test_status_of_lists(spark, lists):
+    c, qrels, _, at = lists
+    sizes = ltr_data.pool_sizes(ltr_data.pools_of(at))
+    q = spark.range(1, 7).withColumnRenamed("id", "qid")
+    got = sorted(ltr_data.status_of(q, sizes, qrels).collect())
+    assert got == sorted(ltr_data.sampling_status(q, c, qrels).collect()) and len({r.status for r in got}) == 5
+    assert "Exchange" not in sizes._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+
 def test_passages_in_documents(spark):
     docs = [(1, "x one two three four five six y"), (2, "ne two three four five si"), (3, "a  b"), (4, "one two three four five six"), (5, None)]
     passages = [(1, "one two three four five six"), (2, "a  b"), (3, "two three four"), (4, "absent words that nobody ever wrote")]
