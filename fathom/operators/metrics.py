@@ -36,7 +36,18 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     top = F.col("hit") & (F.col("rank") <= k)
     ln2 = F.log(F.lit(2.0))
     by = with_hits(ranked, qrels).groupBy("qid").agg(F.min(F.when(top, F.col("rank"))).alias("first"), F.sum(F.when(top, ln2 / F.log(F.col("rank") + 1.0))).alias("dcg"))
-    by = by.join(n_rel, "qid")
+    return _gains(by.join(n_rel, "qid"), k)
+
+
+def per_list(ranks: DataFrame, k: int = 10) -> DataFrame:
+    """As per_query, of the rows of ranks_of."""
+    top = F.filter("ranks", lambda r: r <= k)
+    dcg = F.aggregate(top, F.lit(0.0), lambda s, r: s + F.log(F.lit(2.0)) / F.log(r + 1.0))
+    return _gains(ranks.where("n_rel IS NOT NULL").select("qid", "n_rel", F.array_min(top).alias("first"), dcg.alias("dcg")), k)
+
+
+def _gains(by: DataFrame, k: int) -> DataFrame:
+    ln2 = F.log(F.lit(2.0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_rel").cast("int")))), F.lit(0.0), lambda s, i: s + ln2 / F.log(i + 1.0))
     return by.select("qid", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
 

@@ -125,6 +125,14 @@ def test_status_of_lists(spark, lists):
     assert "Exchange" not in sizes._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
 
 
+def test_metrics_of_lists(lists):
+    _, qrels, ranked, at = lists
+    ranks = metrics.ranks_of(at)
+    for k in (10, 2, 0):
+        assert sorted(metrics.per_list(ranks, k).collect()) == sorted(metrics.per_query(ranked, qrels, k).collect())
+    assert "Exchange" not in metrics.per_list(ranks)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+
 def test_passages_in_documents(spark):
     docs = [(1, "x one two three four five six y"), (2, "ne two three four five si"), (3, "a  b"), (4, "one two three four five six"), (5, None)]
     passages = [(1, "one two three four five six"), (2, "a  b"), (3, "two three four"), (4, "absent words that nobody ever wrote")]
