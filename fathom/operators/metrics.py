@@ -94,11 +94,12 @@ def candidate_recall(candidates: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def funnel(qids: DataFrame, queries: DataFrame, qrels: DataFrame, docs: DataFrame, ranked: DataFrame, topn: int = 200) -> DataFrame:
-    """stage, n, retention, step of how many qids have a text, relevant documents, any in the index, any in the top n."""
+    """stage, n, retention, step of how many qids have a text, relevant documents, any in the index, any in the top n. ranked: rows, or those of ranks_of."""
     rel = qrels.where("rel > 0").select("qid", F.col("docid").alias("doc_id")).distinct()
     text = queries.select("qid", F.lit(1).alias("a")).distinct()
     inside = rel.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("qid").distinct().withColumn("c", F.lit(1))
-    top = with_hits(ranked.where(F.col("rank") <= topn), qrels).where("hit").select("qid").distinct().withColumn("d", F.lit(1))
+    hit = ranked.where(F.exists("ranks", lambda r: r <= topn)) if "ranks" in ranked.columns else with_hits(ranked.where(F.col("rank") <= topn), qrels).where("hit")
+    top = hit.select("qid").distinct().withColumn("d", F.lit(1))
     status = qids.select("qid").distinct().join(text, "qid", "left").join(rel.select("qid").distinct().withColumn("b", F.lit(1)), "qid", "left").join(inside, "qid", "left").join(top, "qid", "left")
     names = ("total", "has_text", "has_positives", "positive_in_index", "positive_in_top")
     so_far, counts = F.lit(True), [F.count("*")]

@@ -133,6 +133,13 @@ def test_metrics_of_lists(lists):
     assert "Exchange" not in metrics.per_list(ranks)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
 
 
+def test_funnel_of_lists(lists):
+    _, qrels, ranked, at = lists
+    for n in (200, 1):
+        by = [metrics.funnel(qrels.select("qid"), ranked.select("qid"), qrels, ranked.select("doc_id"), x, n).collect() for x in (ranked, metrics.ranks_of(at))]
+        assert by[0] == by[1]
+
+
 def test_passages_in_documents(spark):
     docs = [(1, "x one two three four five six y"), (2, "ne two three four five si"), (3, "a  b"), (4, "one two three four five six"), (5, None)]
     passages = [(1, "one two three four five six"), (2, "a  b"), (3, "two three four"), (4, "absent words that nobody ever wrote")]
